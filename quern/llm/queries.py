@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.io import table
-from . import encode, spam, split
+from . import encode, neardup, spam, split
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,6 +20,15 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split.split_texts(table(spark, sf, "chunks"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    links, members = neardup.links_and_members(table(spark, sf, "chunks"))
+    return neardup.pairs_of_keys(links, members, ("chunk_a", "chunk_b"))
+
+
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicate_groups(table(spark, sf, "chunks"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_texts(table(spark, sf, "documents"), vocabulary=encode.vocabulary_path())
 
@@ -30,7 +39,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p6_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p6_ids, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
