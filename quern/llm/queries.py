@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.io import table
-from . import encode, neardup, spam, split
+from . import encode, knn, neardup, spam, split
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,6 +29,11 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, sf, "chunks"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    near = knn.neighbours(table(spark, sf, "chunks"))
+    return near.select(F.least("chunk_id", "neighbour").alias("chunk_a"), F.greatest("chunk_id", "neighbour").alias("chunk_b")).distinct()
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_texts(table(spark, sf, "documents"), vocabulary=encode.vocabulary_path())
 
@@ -39,7 +44,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p6_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p4_found, p6_ids, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
