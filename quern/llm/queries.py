@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.io import table
-from . import encode, knn, neardup, spam, split
+from . import encode, knn, neardup, pii, spam, split
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,6 +34,15 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.least("chunk_id", "neighbour").alias("chunk_a"), F.greatest("chunk_id", "neighbour").alias("chunk_b")).distinct()
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    items = pii.find_items(table(spark, sf, "chunks"))
+    return items.select("chunk_id", "start_at", F.col("kind").alias("pii_kind")).distinct()
+
+
+def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redact_texts(table(spark, sf, "chunks")).dropDuplicates(["chunk_id"])
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_texts(table(spark, sf, "documents"), vocabulary=encode.vocabulary_path())
 
@@ -44,7 +53,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p4_found, p6_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p4_found, p5_found, p5_redacted, p6_ids, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
