@@ -2,8 +2,8 @@
 
 Equal directions form one class, so copies cost one point however many there are. A bounded sample of
 classes gives centroids by repeated k-means; leaves that equal vectors keep from being split get several
-hashed shards. Every class is a member of the shard of its nearest centroid and a query of the
-`PROBES` nearest ones. A task builds the graph of its shard (see graph.py), answers its members from
+hashed shards. Every class is a member of the shard of its nearest centroid and a query of up to
+`PROBES` near ones, those whose border with its own is near. A task builds the graph of its shard (see graph.py), answers its members from
 their own edges and the visiting queries from pivots by beam search. The lists of a class are merged
 by similarity, and classes are turned back into keys: equal vectors have similarity 1, ties go to the
 smaller key.
@@ -35,7 +35,9 @@ K, DIMENSIONS = 10, 64
 #: Bound of the sample of classes from which centroids are learned; every vector is indexed.
 SAMPLE = 40_000
 #: Members a shard should have, the most shards there are, and how many shards answer a query.
-SHARD, SHARDS_MOST, PROBES = 5_000, 16_384, 3
+SHARD, SHARDS_MOST, PROBES = 6_000, 16_384, 4
+#: A further shard is asked if its border is nearer than this part of the distance to the own centroid.
+MARGIN = 0.4
 BEAM = 28
 
 
@@ -110,7 +112,7 @@ def learn_shards(sample: np.ndarray, total: int, shard: int = SHARD, seed: int =
     return np.stack([c for c, _ in leaves]).astype(np.float32), np.array([s for _, s in leaves])
 
 
-def _route(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, slices: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
+def _route(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, slices: np.ndarray, probes: int, margin: float) -> Iterator[pa.RecordBatch]:
     first = np.cumsum(slices) - slices
     half = 0.5 * (centroids * centroids).sum(1)
     for batch in batches:
@@ -122,10 +124,14 @@ def _route(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, slices: np.
         p = min(probes, len(centroids))
         near = np.argpartition(-score, p - 1, axis=1)[:, :p]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1), 1)
+        best = np.take_along_axis(score, near, 1)
+        own = centroids[near[:, 0]]
+        reach = margin * np.sqrt(np.maximum(1 - 2 * best[:, 0], 0))  # |x - c|, as x has length 1
         home = first[near[:, 0]] + (ids.view(np.uint64) % slices[near[:, 0]].astype(np.uint64)).astype(np.int64)
         rows, shard, member = [np.arange(len(ids))], [home], [np.ones(len(ids), bool)]
         for c in range(p):
-            n = slices[near[:, c]]
+            between = np.sqrt(((centroids[near[:, c]] - own) ** 2).sum(1))
+            n = np.where((best[:, 0] - best[:, c]) <= reach * between, slices[near[:, c]], 0)
             row = np.repeat(np.arange(len(ids)), n)
             s = np.repeat(first[near[:, c]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             away = s != home[row]  # in its own shard a member is asked as a member
@@ -160,25 +166,25 @@ def _answer(group: pa.Table, k: int, beam: int) -> pa.Table:
 _NEAR = "array<struct<away: double, id: bigint>>"
 
 
-def class_neighbours(classes: DataFrame, total: int, k: int = K, shard: int = SHARD, probes: int = PROBES, beam: int = BEAM) -> DataFrame:
-    """(class, near): the k nearest other classes of each row (class, vec) of classes."""
+def class_neighbours(units: DataFrame, total: int, k: int = K, shard: int = SHARD, probes: int = PROBES, margin: float = MARGIN, beam: int = BEAM) -> DataFrame:
+    """(class, near): the k nearest other classes of each class of units (class, vec); total: number of classes."""
     every = max(1, total // SAMPLE)
-    # A sample by hash: the same rows whatever the partitions; at most a few more than SAMPLE.
-    picked = classes.filter(F.pmod(F.xxhash64("class"), F.lit(every)) == 0).select("vec").limit(2 * SAMPLE).toArrow()
+    # A sample by hash: the same classes whatever the partitions.
+    picked = units.filter(F.pmod(F.xxhash64("class"), F.lit(every)) == 0).dropDuplicates(["class"]).select("vec").limit(2 * SAMPLE).toArrow()
     raw = b"".join(picked.column("vec").to_pylist())
     sample = np.frombuffer(raw, np.float32).reshape(picked.num_rows, -1) if picked.num_rows else np.zeros((0, 1), np.float32)
+    classes = units.groupBy("class").agg(F.any_value("vec").alias("vec"))
     centroids, slices = learn_shards(sample, total, shard)
-    routed = classes.select("class", "vec").mapInArrow(lambda it: _route(it, centroids, slices, probes), "shard int, member boolean, class bigint, vec binary")
+    routed = classes.select("class", "vec").mapInArrow(lambda it: _route(it, centroids, slices, probes, margin), "shard int, member boolean, class bigint, vec binary")
     lists = routed.groupBy("shard").applyInArrow(lambda g: _answer(g, k, beam), f"class bigint, near {_NEAR}")
     return lists.groupBy("class").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
-def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", k: int = K, dimensions: int = DIMENSIONS, **tuning: int) -> DataFrame:
+def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", k: int = K, dimensions: int = DIMENSIONS, **tuning: float) -> DataFrame:
     """(key, neighbour, similarity DOUBLE, rank INT): the k most similar others of each key."""
     ids = materialise(_unit(df, key, vector, dimensions, False).distinct())
-    classes = _unit(df, key, vector, dimensions, True).groupBy("class").agg(F.any_value("vec").alias("vec"))
-    classes = materialise(classes)
-    lists = class_neighbours(classes, classes.count(), k, **tuning)
+    units = _unit(df, key, vector, dimensions, True).select("class", "vec")
+    lists = class_neighbours(units, ids.select("class").distinct().count(), k, **tuning)
     # The smallest keys of a class are all that can be among anyone's k; one more, as a key isn't its own neighbour.
     least = ids.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("key"))).filter(F.col("place") <= k + 1)
     named = least.select("class", "key")
