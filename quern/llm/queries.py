@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.io import table
-from . import encode, knn, neardup, pii, spam, split
+from . import encode, knn, neardup, pii, scans, spam, split
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,6 +29,15 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, sf, "chunks"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = scans.faults(table(spark, sf, "chunks"), table(spark, sf, "file_register"))
+    return found.select("chunk_id", "line_no", "fault", "repaired").distinct()
+
+
+def p3_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.repair(table(spark, sf, "chunks"), table(spark, sf, "file_register"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     near = knn.neighbours(table(spark, sf, "chunks"))
     return near.select(F.least("chunk_id", "neighbour").alias("chunk_a"), F.greatest("chunk_id", "neighbour").alias("chunk_b")).distinct()
@@ -53,7 +62,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p4_found, p5_found, p5_redacted, p6_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_repaired, p4_found, p5_found, p5_redacted, p6_ids, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
