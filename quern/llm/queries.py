@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.io import table
-from . import encode, knn, neardup, pii, scans, spam, split
+from . import encode, knn, mix, neardup, pii, scans, spam, split
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,13 +56,25 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_texts(table(spark, sf, "documents"), vocabulary=encode.vocabulary_path())
 
 
+def _mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return mix.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), encode.vocabulary_path())
+
+
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixture(spark, sf)[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixture(spark, sf)[1]
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     pages = spam.spam_pages(table(spark, sf, "documents"))
     return pages.filter("is_spam").select("doc_id").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_repaired, p4_found, p5_found, p5_redacted, p6_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_repaired, p4_found, p5_found, p5_redacted, p6_ids, p7_mixture, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
