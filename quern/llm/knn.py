@@ -94,7 +94,7 @@ def learn_shards(sample: np.ndarray, total: int, shard: int = SHARD, seed: int =
     shard = max(shard, -(-total // SHARDS_MOST))
     scale = total / max(1, len(sample))
     leaves: list[tuple[np.ndarray, int]] = []
-    todo = [np.arange(len(sample))]
+    todo = [np.arange(len(sample))] if len(sample) else []
     while todo:
         part = todo.pop()
         expected = len(part) * scale

@@ -121,8 +121,10 @@ class Lexicon:
 
 
 def learn_lexicon(df: DataFrame, counts: DataFrame, text: str = "text") -> Lexicon:
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = counts.filter((F.col("n") >= max(3, FREQUENT * total)) & ~F.col("word").rlike(r"\d")).toArrow().to_pylist()
+    total, clean = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
+    # A word that scanned files alone have is no right word yet, however often it stands there.
+    known = F.col("clean") * total >= 0.1 * F.col("n") * clean
+    top = counts.filter((F.col("n") >= max(3, FREQUENT * total)) & known & ~F.col("word").rlike(r"\d")).toArrow().to_pylist()
     top.sort(key=lambda r: (-r["n"], r["word"]))
     words = {r["word"]: r["n"] for r in top}
     order = [r["word"] for r in top[:MODEL_WORDS]]
