@@ -139,7 +139,7 @@ def scan_tables(spark):
         town = ["Arby", "Brim", "Corve", "Dunst", "Elgin", "Frome"][i]
         lines = ["ACME Handbook", f"The rccords clerk of {town} will move the bud-", f"get to the 0ffice. {town} has the cross-", f"border records of {town}.", f"Page {i + 1} of 6"]
         pages.append((f"s{i}", "S", "\n".join(lines), i))
-    rows = clean + pages + [pages[0], ("n", "S", None, 8), ("e", "S", "", 9), ("b", "S", " \n", 10), ("o", "O", "The rccords stay.", 1)]
+    rows = clean + pages + [pages[0], ("n", "S", None, 8), ("e", "S", "", 9), ("b", "S", " \n", 10), ("o", "O", "The clcrk stays.", 1)]
     chunks = spark.createDataFrame([(a, b, c, {"page": p}) for a, b, c, p in rows], "chunk_id string, file_id string, text string, metadata struct<page:int>")
     register = spark.createDataFrame([("S", " .PDF"), ("T", "txt"), ("O", None), (None, "pdf")], "id string, file_type string")
     return chunks, register
