@@ -133,7 +133,7 @@ def test_decoding_does_not_depend_on_the_batch(model):
 
 def scan_tables(spark):
     body = ["The records clerk will move the budget to the office.", "Nobody may change the budget before the office agrees.", "The cross-border budget of the office is kept by the records clerk."]
-    clean = [(f"t{i}", "T", " ".join(body[(i + j) % 3] for j in range(3)), 1) for i in range(40)]
+    clean = [(f"t{i}", "T", " ".join(body[(i + j) % 3] for j in range(3)), 1) for i in range(160)]
     pages = []
     for i in range(6):
         town = ["Arby", "Brim", "Corve", "Dunst", "Elgin", "Frome"][i]
