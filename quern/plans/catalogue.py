@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from . import queries_retrieval, queries_text
+
+MODULES = (queries_text, queries_retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
