@@ -29,7 +29,7 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def text_pages(rows: DataFrame) -> DataFrame:
     """Text and Markdown: one page; undecodable bytes are dropped."""
-    text = F.regexp_replace(F.decode("bytes", "UTF-8"), "�", "")
+    text = F.regexp_replace(F.make_valid_utf8(F.col("bytes").cast("string")), "�", "")
     return rows.select("filename", F.lit(1).alias("page"), F.lit(0).alias("part"), clean_text(text).alias("text"))
 
 
