@@ -19,23 +19,31 @@ def current_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
-def postings(pool: DataFrame, id_: str = "chunk_id", text: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys..., id, term, tf)."""
-    return pool.select(*keys, id_, F.explode(tokens(F.col(text))).alias("term")).groupBy(*keys, id_, "term").agg(F.count("*").alias("tf"))
+def sized(pool: DataFrame, id_: str = "chunk_id", text: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys..., id, toks, dl): tokens of each row and their number; rows without tokens count, with 0."""
+    rows = pool.select(*keys, id_, tokens(F.col(text)).alias("toks"))
+    return rows.withColumn("dl", F.coalesce(F.size("toks"), F.lit(0)).cast("bigint"))
 
 
-def lengths(pool: DataFrame, id_: str = "chunk_id", text: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys..., id, dl): tokens of each row; rows without tokens count, with 0."""
-    return pool.select(*keys, id_, F.coalesce(F.size(tokens(F.col(text))), F.lit(0)).cast("bigint").alias("dl"))
+def postings(rows: DataFrame, id_: str = "chunk_id", keys: tuple[str, ...] = (), terms: DataFrame | None = None) -> DataFrame:
+    """(keys..., id, dl, term, tf) of sized rows; with terms (a small table) only those: other tokens go before the shuffle."""
+    post = rows.select(*keys, id_, "dl", F.explode("toks").alias("term"))
+    if terms is not None:
+        post = post.join(F.broadcast(terms), "term", "left_semi")
+    return post.groupBy(*keys, id_, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def term_stats(post: DataFrame, dl: DataFrame, keys: tuple[str, ...] = (), epsilon: float = 0.25) -> DataFrame:
-    """(keys..., term, df, idf, avgdl): idf = ln(N - df + 0.5) - ln(df + 0.5); where negative, epsilon times the mean idf."""
-    one = [F.lit(1).alias("one")] if not keys else []
+def term_stats(rows: DataFrame, keys: tuple[str, ...] = (), epsilon: float = 0.25) -> DataFrame:
+    """(keys..., term, df, idf, avgdl): idf = ln(N - df + 0.5) - ln(df + 0.5); where negative, epsilon times the mean idf.
+
+    A row's tokens are made distinct before they are exploded, so document counts need no shuffle of postings.
+    """
+    one = [] if keys else [F.lit(1).alias("one")]
     names = list(keys) or ["one"]
-    size = dl.select("*", *one).groupBy(*names).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy(*keys, "term").agg(F.count("*").alias("df")).select("*", *one)
-    raw = df.join(F.broadcast(size) if not keys else size, names).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    small = (lambda d: d) if keys else F.broadcast  # without keys: one row
+    size = rows.select(*keys, "dl", *one).groupBy(*names).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    df = rows.select(*keys, F.explode(F.array_distinct("toks")).alias("term"), *one).groupBy(*names, "term").agg(F.count("*").alias("df"))
+    raw = df.join(small(size), names).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*names).agg(F.avg("raw").alias("mean"))
-    out = raw.join(F.broadcast(mean) if not keys else mean, names)
+    out = raw.join(small(mean), names)
     return out.select(*keys, "term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")

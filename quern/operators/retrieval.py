@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.understand import expand
-from .index import lengths, postings, term_stats
+from .index import postings, sized, term_stats
 
 K1, B, RRF_K = 1.5, 0.75, 60
 TOP_BM25, TOP_DENSE, BM25_THRESHOLD, FUSED_THRESHOLD = 20, 20, 0.1, 0.01
@@ -19,11 +19,6 @@ TOP_BM25, TOP_DENSE, BM25_THRESHOLD, FUSED_THRESHOLD = 20, 20, 0.1, 0.01
 BROADCAST_ROWS = 100_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The side with a broadcast hint if it is proven to be small, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
     """(query_id, term, mult): tokens of the expanded query; a repeated token counts as often as it stands."""
     return queries.select(query_id, F.explode(tokens(expand(F.col(text)))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("mult"))
@@ -32,15 +27,18 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "que
 def bm25(queries: DataFrame, pool: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, keys..., chunk_id, score) for chunks with a term of the query; statistics by `keys` if given.
 
-    Only postings of query terms are scored: they are filtered before the statistics are joined.
+    Where the queries' terms are few (checked), tokens that no query has are dropped before any shuffle.
     """
-    post, dl = postings(pool, keys=keys), lengths(pool, keys=keys)
-    q = small(query_terms(queries))
-    wanted = post.join(F.broadcast(q.select("term").distinct()), "term", "left_semi") if q.count() <= BROADCAST_ROWS else post
-    stats = term_stats(post, dl, keys)
-    hit = wanted.join(stats, [*keys, "term"]).join(dl, [*keys, "chunk_id"])
+    rows, q = sized(pool, keys=keys), query_terms(queries)
+    few = q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    post = postings(rows, keys=keys, terms=q.select("term").distinct() if few else None)
+    stats = term_stats(rows, keys)
+    if few:
+        q = F.broadcast(q)
+        stats = stats.join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
+    hit = post.join(stats, [*keys, "term"]).join(q, "term")
     part = F.col("mult") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.join(q, "term").groupBy("query_id", *keys, "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return hit.groupBy("query_id", *keys, "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), id_: str = "chunk_id") -> DataFrame:

@@ -56,7 +56,7 @@ def answer(queries: DataFrame, pool: DataFrame, vectors: DataFrame | None = None
     for k in range(MOST_ATTEMPTS):
         got = attempt(open_, pool, vectors, plugins)
         strong = F.col("model") == "strong"
-        judged = got.withColumn("d", V.reflect(F.col("query"), F.col("answer"), F.col("context"), F.lit(k), strong, V.contradicts(F.col("query"), F.col("answer"), F.coalesce("context", F.lit("")))))
+        judged = got.withColumn("f", V.features(F.col("query"), F.col("answer"), F.col("context"))).withColumn("d", V.decide(F.col("f"), F.lit(k), strong, V.contradicts(F.col("query"), F.col("answer"), F.coalesce("context", F.lit("")))))
         failure = V.failure_type(F.col("d.reason"), F.lit(k))
         judged = materialise(judged.withColumn("action", V.healing_action(failure)))
         out = F.col("answer") == UNAVAILABLE

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import context as C
 from ..operators import retrieval as R
-from ..operators.index import current_chunks, lengths, postings, term_stats
+from ..operators.index import current_chunks, sized, term_stats
 from ..session import materialise
 from ..sources.io import table
 from .queries_text import EXPAND_SQL, POOL, TOKENS
@@ -93,8 +93,7 @@ def _sides(spark, sf):
 
 
 def bm25_term_stats(spark, sf):
-    p = pool(spark, sf)
-    return term_stats(postings(p), lengths(p)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return term_stats(sized(pool(spark, sf))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 BM25_TERM_STATS = f"{BASE} SELECT term, df, round(idf, 6) AS idf FROM stats"

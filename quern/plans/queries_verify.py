@@ -147,8 +147,9 @@ s AS (SELECT id, target, {SUMS('vals')} AS sums FROM v) SELECT id, len(list_filt
 def reflect_decision(spark, sf):
     """Every answer judged on each of three attempts, by the weaker and the stronger model."""
     tries = F.explode(F.array(*[F.struct(F.lit(a).alias("attempt"), F.lit(s).alias("strong")) for a in range(3) for s in (False, True)]))
-    e = evidence(spark, sf).withColumn("x", tries).select("session_id", "turn", "query", "answer", "source", "x.*")
-    d = e.withColumn("d", V.reflect(F.col("query"), F.col("answer"), F.col("source"), F.col("attempt"), F.col("strong")))
+    seen = evidence(spark, sf).select("session_id", "turn", V.features(F.col("query"), F.col("answer"), F.col("source")).alias("f"))
+    e = seen.withColumn("x", tries).select("session_id", "turn", "f", "x.*")
+    d = e.withColumn("d", V.decide(F.col("f"), F.col("attempt"), F.col("strong")))
     failure = V.failure_type(F.col("d.reason"), F.col("attempt"))
     force = (F.col("d.decision") == "retry_model") & ~F.col("strong")
     return d.select("session_id", "turn", F.col("attempt").cast("bigint").alias("attempt"), "strong", "d.decision", "d.reason", "d.confidence", failure.alias("failure_type"), V.healing_action(failure).alias("action"), force.alias("force_strong"))

@@ -147,7 +147,7 @@ def test_bm25_pool_statistics_and_repeats(spark):
     q = spark.createDataFrame([(1, "error"), (2, "zzz")], "query_id int, query string")
     got = retrieval.bm25(q, pool).collect()
     assert [r["chunk_id"] for r in got] == ["1"] and got[0]["score"] > 0
-    assert index.lengths(pool).filter("chunk_id = '4'").first()["dl"] == 0
+    assert index.sized(pool).filter("chunk_id = '4'").first()["dl"] == 0
     assert retrieval.filtered_pool(pool, F.col("chunk_id") == "9").count() == 0
 
 
