@@ -46,8 +46,12 @@ def _bucket(n: int) -> int:
 
 
 def _items(line: str) -> tuple[str, list[str]]:
-    sep = max(_SEPARATORS, key=line.count)
-    return (sep, [x for x in line.split(sep) if x.strip()]) if sep in line else ("", [line])
+    counts = [line.count(s) for s in _SEPARATORS]
+    most = max(counts)
+    if most < 4:
+        return "", [line]
+    sep = _SEPARATORS[counts.index(most)]
+    return sep, [x for x in line.split(sep) if x.strip()]
 
 
 def _is_list(line: str) -> tuple[str, int]:
@@ -67,19 +71,20 @@ def line_shape(line: str, in_code: bool) -> tuple[str, tuple, int]:
     size = len(line.strip())
     if in_code or _DATE.match(line) or _TRACE.match(line):
         return "data", ("data",), size
-    links = _LINK.findall(line)
+    # Cheap tests come first: most lines hold no link, pair or tag at all.
+    links = _LINK.findall(line) if "://" in line or "www." in line.lower() or "<a" in line.lower() else ()
     if links:
         rest = _LINK.sub(" ", line)
         words = _WORD.findall(rest)
         if len(words) <= 4 * len(links) and not (_END.search(rest.strip(" ()")) and len(words) >= 5):
             return "link", ("link", _bucket(len(links)), _bucket(len(words))), size
         line = rest
-    pairs = _PAIR.findall(line)
+    pairs = _PAIR.findall(line) if "=" in line else ()
     if len(pairs) >= 2 and sum(map(len, pairs)) >= 0.5 * size:
         return "data", ("data",), size
     words = _WORD.findall(line)
-    capital = round(4 * sum(w[0].isupper() for w in words) / max(1, len(words)))
-    tags = _TAG.findall(line)
+    capital = round(4 * sum([w[0].isupper() for w in words]) / max(1, len(words)))
+    tags = _TAG.findall(line) if "#" in line or "[" in line else ()
     if tags and (len(tags) >= 3 or len(words) <= 4 and len(tags) >= 1):
         covered = sum(map(len, tags))
         if covered >= 0.35 * size or len(tags) >= 0.4 * len(line.split()):
@@ -100,9 +105,9 @@ def line_shape(line: str, in_code: bool) -> tuple[str, tuple, int]:
 
 def _keywords(sentences: list[list[str]]) -> set[str]:
     """Words far too frequent for prose: of 4 letters or more, at least 7 in 100 words and once a sentence."""
-    words = Counter(w for s in sentences for w in s if len(w) >= 3)
-    total = sum(map(len, sentences))
-    return {w for w, n in words.items() if len(w) >= 4 and n >= max(4, 0.065 * total, 0.8 * len(sentences))}
+    every = [w for s in sentences for w in s]
+    least = max(4, 0.065 * len(every), 0.8 * len(sentences))
+    return {w for w, n in Counter(every).items() if n >= least and len(w) >= 4}
 
 
 def spam_share(text: str | None) -> tuple[float, int, dict[tuple, int]]:
@@ -125,9 +130,9 @@ def spam_share(text: str | None) -> tuple[float, int, dict[tuple, int]]:
         if kind in ("link", "tag", "list"):
             spam[shape] += size
         elif kind == "label":
-            labels.append((shape, size, [w.lower() for w in _WORD.findall(line)]))
+            labels.append((shape, size, _WORD.findall(line.lower())))
         elif kind == "text":
-            sentences += [(s, [w.lower() for w in _WORD.findall(s)]) for s in _SENTENCE.split(line)]
+            sentences += [(s, _WORD.findall(s.lower())) for s in _SENTENCE.split(line)]
     if len(labels) >= 6:
         # Labels are piled up if few words make up much of them; agendas, names and steps vary.
         count = Counter(w for _, _, ws in labels for w in set(ws) if len(w) >= 2)
@@ -139,8 +144,8 @@ def spam_share(text: str | None) -> tuple[float, int, dict[tuple, int]]:
             if piled or any(w in often for w in ws):
                 spam[shape] += size
     keywords = _keywords([ws for _, ws in sentences])
-    for s, ws in sentences:
-        hits = sum(w in keywords for w in ws)
+    for s, ws in sentences if keywords else ():
+        hits = sum([w in keywords for w in ws])
         if hits >= 0.12 * len(ws) and hits:
             spam["stuffed", _bucket(len(ws))] += len(s)
     held = sum(spam.values())
