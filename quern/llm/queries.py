@@ -77,5 +77,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_repaired, p4_found, p5_found, p5_redacted, p6_ids, p7_mixture, p7_shares, p8_found)}
 
 
+P1_FOUND = r"""
+WITH c AS (SELECT chunk_id, min(text) AS text FROM chunks WHERE length(text) > 1600 GROUP BY 1),
+l AS (SELECT chunk_id, i, ls[i] AS l FROM (SELECT chunk_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT chunk_id, string_split(text, chr(10)) AS ls FROM c))),
+o AS (SELECT *, coalesce(sum(length(l) + 1) OVER (PARTITION BY chunk_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, NOT regexp_matches(l, '[^ \t\r]') AS blank,
+ regexp_matches(l, '^\[?(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|[A-Z][a-z]{2} [ \d]\d \d{2}:\d{2})') AS dated FROM l),
+k AS (SELECT *, first_value(dated) OVER (PARTITION BY chunk_id ORDER BY blank, i) AS is_log, coalesce(lag(blank) OVER (PARTITION BY chunk_id ORDER BY i), true) AS after_blank FROM o),
+u AS (SELECT *, sum(CASE WHEN is_log THEN CAST(dated AS INT) ELSE CAST(after_blank AND NOT blank AS INT) END) OVER (PARTITION BY chunk_id ORDER BY i) AS uid FROM k),
+s AS (SELECT chunk_id, uid, min(off + length(l) - length(regexp_replace(l, '^[ \t\r]+', ''))) AS a, max(off + length(regexp_replace(l, '[ \t\r]+$', ''))) AS b FROM u WHERE NOT blank GROUP BY ALL),
+p AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM s WINDOW w AS (PARTITION BY chunk_id ORDER BY uid))
+SELECT chunk_id, CAST(a AS BIGINT) AS cut_at FROM p WHERE b - a <= 1600 AND pb - pa <= 1600 AND b - pa > 1600"""
+
+#: Prefix filter: sets that are similar enough share one of their rarest words; what shares one is compared whole.
+P2_FOUND = r"""
+WITH w AS (SELECT chunk_id, list_distinct(regexp_extract_all(lower(min(text)), '[a-z0-9]+')) AS ws FROM chunks GROUP BY 1),
+s AS (SELECT chunk_id, ws, len(ws) AS n FROM w WHERE len(ws) >= 20),
+t AS (SELECT chunk_id, n, unnest(ws) AS word FROM s), d AS (SELECT word, count(*) AS df FROM t GROUP BY 1),
+r AS (SELECT chunk_id, n, word FROM t JOIN d USING (word) QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY df, word) <= n - ceil(0.8 * n) + 1),
+c AS (SELECT DISTINCT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b FROM r a JOIN r b ON a.word = b.word AND a.chunk_id < b.chunk_id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n),
+j AS (SELECT c.*, len(list_intersect(x.ws, y.ws)) AS i, x.n + y.n AS m FROM c JOIN s x ON x.chunk_id = chunk_a JOIN s y ON y.chunk_id = chunk_b)
+SELECT chunk_a, chunk_b FROM j WHERE i >= 0.8 * (m - i)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND}
