@@ -50,7 +50,9 @@ _WORD = re.compile("[a-z0-9]+")
 CHECK = 5
 LENGTH, RADIUS = 2**CHECK - 1, 1
 #: Texts whose fingerprints of one part go to one task; only task size and parallelism depend on it.
-SLICE_TEXTS = 250_000
+SLICE_TEXTS = 100_000
+#: Members of a class of exact copies that are paired in full.
+COPIES = 100
 #: Pairs compared at once within a bucket; only memory depends on it.
 BLOCK_PAIRS = 2_000_000
 
@@ -390,13 +392,25 @@ def links_and_members(df: DataFrame, key: str = "chunk_id", text: str = "text",
     return links, members
 
 
-def pairs_of_keys(links: DataFrame, members: DataFrame, names: tuple[str, str] = ("key_a", "key_b")) -> DataFrame:
-    """All pairs of near-duplicate keys, the smaller first: across linked classes and within a class."""
-    x = members.select(F.col("key").alias("ka"), F.col("class").alias("a"))
-    y = members.select(F.col("key").alias("kb"), F.col("class").alias("b"))
+def pairs_of_keys(links: DataFrame, members: DataFrame, names: tuple[str, str] = ("key_a", "key_b"), copies: int = COPIES) -> DataFrame:
+    """Pairs of near-duplicate keys, the smaller first: across linked classes and within a class.
+
+    Classes of up to `copies` members are paired in full. In larger groups of exact copies each member is paired with the
+    group's least key, which stands for the group in pairs with other classes: every link between different texts stays,
+    and the result grows with the rows, not with their square.
+    """
+    size = members.groupBy("class").agg(F.count("*").alias("n"), F.min("key").alias("first"))
+    linked = links.select(F.explode(F.array("a", "b")).alias("class")).distinct().withColumn("linked", F.lit(True))
+    size = size.join(linked, "class", "left").filter((F.col("n") > 1) | F.col("linked"))
+    m = members.join(size.select("class", "n", "first"), "class")
+    full = m.filter((F.col("n") <= copies) | (F.col("key") == F.col("first")))
+    x = full.select(F.col("key").alias("ka"), F.col("class").alias("a"))
+    y = full.select(F.col("key").alias("kb"), F.col("class").alias("b"))
     across = links.join(x, "a").join(y, "b").select("ka", "kb")
-    within = x.join(y, (F.col("a") == F.col("b")) & (F.col("ka") < F.col("kb"))).select("ka", "kb")
-    out = across.unionByName(within)
+    few = full.filter((F.col("n") > 1) & (F.col("n") <= copies))
+    within = few.select(F.col("key").alias("ka"), "class").join(few.select(F.col("key").alias("kb"), "class"), "class").filter(F.col("ka") < F.col("kb")).select("ka", "kb")
+    star = m.filter((F.col("n") > copies) & (F.col("key") != F.col("first"))).select(F.col("first").alias("ka"), F.col("key").alias("kb"))
+    out = across.unionByName(within).unionByName(star)
     return out.select(F.least("ka", "kb").alias(names[0]), F.greatest("ka", "kb").alias(names[1])).distinct()
 
 

@@ -85,3 +85,11 @@ def test_operator_on_odd_rows(spark):
     assert groups["copy0"]["class"] == groups["copy4"]["class"] and groups["long1"]["n_links"] == 1
     none = neardup.near_duplicate_groups(df.limit(0))
     assert none.count() == 0
+
+
+def test_large_groups_of_copies_stay_linear(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(42))
+    rows = [(f"c{i:04d}", a) for i in range(400)] + [(f"d{i}", b) for i in range(3)]
+    links, members = neardup.links_and_members(spark.createDataFrame(rows, "chunk_id string, text string"))
+    got = {(r[0], r[1]) for r in neardup.pairs_of_keys(links, members, copies=50).collect()}
+    assert got == {("c0000", f"c{i:04d}") for i in range(1, 400)} | {("d0", "d1"), ("d0", "d2"), ("d1", "d2")} | {("c0000", f"d{i}") for i in range(3)}
