@@ -50,7 +50,7 @@ _WORD = re.compile("[a-z0-9]+")
 CHECK = 5
 LENGTH, RADIUS = 2**CHECK - 1, 1
 #: Texts whose fingerprints of one part go to one task; only task size and parallelism depend on it.
-SLICE_TEXTS = 100_000
+SLICE_TEXTS = 200_000
 #: Members of a class of exact copies that are paired in full.
 COPIES = 100
 #: Pairs compared at once within a bucket; only memory depends on it.
