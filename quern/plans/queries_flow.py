@@ -68,8 +68,13 @@ def stream_distinct(spark, sf):
 STREAM_DISTINCT = "SELECT user_id, count(DISTINCT event_id) AS n FROM events GROUP BY 1"
 
 
+def stream_versions(spark, sf):
+    """The feedback log as a change feed: each batch of files is a version of the table."""
+    return X.versions(X.source(spark, sf, "feedback_logs").select("id", "query", "success"), "id")
+
+
 def queries():
-    fs = (chunk_documents, log_entries, html_to_text, answer_questions, stream_counters, stream_rate_limit, stream_last_events, stream_distinct)
+    fs = (chunk_documents, log_entries, html_to_text, answer_questions, stream_counters, stream_rate_limit, stream_last_events, stream_distinct, stream_versions)
     return {f.__name__: f for f in fs}
 
 

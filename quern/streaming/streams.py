@@ -82,3 +82,25 @@ def newest_per_key(drained: DataFrame, key: str) -> DataFrame:
 def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Events once each, however often they are delivered within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def versions(changes: DataFrame, key: str) -> DataFrame:
+    """A change feed into a versioned table: (version, changed, total). Each batch is one version; the table of a version is
+    written under its own name, so a batch that is run again writes the same version again and readers keep theirs."""
+    spark = changes.sparkSession
+    root = f"{ensure_checkpoint_dir(spark)}/versions-{uuid.uuid4().hex}"
+
+    def apply(batch: DataFrame, version: int) -> None:
+        new = batch.dropDuplicates([key])
+        if version:
+            old = spark.read.parquet(f"{root}/table/{version - 1}")
+            kept = old.join(new.select(key), key, "left_anti").unionByName(new)
+        else:
+            kept = new
+        kept.write.mode("overwrite").parquet(f"{root}/table/{version}")
+        counts = new.agg(F.count("*").alias("changed")).crossJoin(spark.read.parquet(f"{root}/table/{version}").agg(F.count("*").alias("total")))
+        counts.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{root}/log/{version}")
+
+    q = changes.writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(apply).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("changed bigint, total bigint, version int").option("recursiveFileLookup", "true").parquet(f"{root}/log")
