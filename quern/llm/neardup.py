@@ -51,6 +51,8 @@ CHECK = 5
 LENGTH, RADIUS = 2**CHECK - 1, 1
 #: Texts whose fingerprints of one part go to one task; only task size and parallelism depend on it.
 SLICE_TEXTS = 200_000
+#: Candidate classes up to this many (8 bytes each) are broadcast.
+BROADCAST_CLASSES = 500_000
 #: Members of a class of exact copies that are paired in full.
 COPIES = 100
 #: Pairs compared at once within a bucket; only memory depends on it.
@@ -357,20 +359,21 @@ def candidates(df: DataFrame, text: str, threshold: float, min_words: int) -> Da
     return blocks.groupBy("bucket", "width").applyInArrow(match, "a bigint, b bigint").distinct()
 
 
-def sets_table(df: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """(key, class, words ARRAY<BIGINT>) of every text with enough words."""
+def sets_table(df: DataFrame, key: str, text: str, min_words: int, with_words: bool = True) -> DataFrame:
+    """(key, class, words ARRAY<BIGINT>) of every text with enough words; without words if they aren't needed."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[str, int] = {}
         for batch in batches:
             which, sizes, flat = word_sets(batch.column(1).to_pylist(), min_words, table)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(classes(sizes, flat), pa.int64()), words], names=["key", "class", "words"])
+            cols = [batch.column(0).take(pa.array(which)), pa.array(classes(sizes, flat), pa.int64())]
+            if with_words:
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat.view(np.int64))))
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "class", "words"][: len(cols)])
 
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter(F.length("text") >= 2 * min_words - 1)
-    return rows.mapInArrow(run, f"key {kind}, class bigint, words array<bigint>")
+    return rows.mapInArrow(run, f"key {kind}, class bigint" + ", words array<bigint>" * with_words)
 
 
 def links_and_members(df: DataFrame, key: str = "chunk_id", text: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -379,10 +382,15 @@ def links_and_members(df: DataFrame, key: str = "chunk_id", text: str = "text",
     Every text with enough words is a member of its class; texts of one class have equal sets of words.
     """
     pairs = materialise(candidates(df, text, threshold, min_words))
-    every = sets_table(df, key, text, min_words)
-    members = every.select("key", "class").distinct()
+    members = sets_table(df, key, text, min_words, False).distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = every.join(wanted, "class", "left_semi").groupBy("class").agg(F.any_value("words").alias("words"))
+    every = sets_table(df, key, text, min_words).select("class", "words")
+    # Few candidates: only their words are shuffled. Many: copies are merged before the join, so no class is hot.
+    if wanted.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
+        every = every.join(F.broadcast(wanted), "class", "left_semi")
+        sets = every.groupBy("class").agg(F.any_value("words").alias("words"))
+    else:
+        sets = every.groupBy("class").agg(F.any_value("words").alias("words")).join(wanted, "class", "left_semi")
     sets = materialise(sets)
     left = sets.select(F.col("class").alias("a"), F.col("words").alias("wa"))
     right = sets.select(F.col("class").alias("b"), F.col("words").alias("wb"))
