@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the published pre-token pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -202,7 +204,7 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
                 yield pa.RecordBatch.from_arrays([keys, lists], names=["key", "ids"])
 
     out = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return out.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return spread(out).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -220,7 +222,7 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
 
     cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(fields)]
     out = df.select(*cols, F.col(f"`{text}`").alias("text"))
-    out = out.mapInArrow(run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)) + ", n_tokens bigint")
+    out = spread(out).mapInArrow(run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)) + ", n_tokens bigint")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(fields)), "n_tokens")
 
 

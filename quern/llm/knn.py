@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, spread
 from .graph import Graph
 
 K, DIMENSIONS = 10, 64
@@ -74,7 +74,7 @@ def _unit(df: DataFrame, key: str, vector: str, dimensions: int, with_vectors: b
             yield pa.RecordBatch.from_arrays(cols, names=["key", "class", "vec"][: len(cols)])
 
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{vector}`").alias("v")).filter(F.col("key").isNotNull() & (F.size("v") == dimensions))
-    return rows.mapInArrow(run, f"key {kind}, class bigint" + ", vec binary" * with_vectors)
+    return spread(rows).mapInArrow(run, f"key {kind}, class bigint" + ", vec binary" * with_vectors)
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:

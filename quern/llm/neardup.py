@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, spread
 
 THRESHOLD, MIN_WORDS = 0.8, 20
 _WORD = re.compile("[a-z0-9]+")
@@ -350,7 +350,7 @@ def candidates(df: DataFrame, text: str, threshold: float, min_words: int) -> Da
     """(a, b): class pairs that share an anchor and have near sketches; holds every true pair."""
     rows = df.select(F.col(f"`{text}`").alias("text")).filter(F.length("text") >= 2 * min_words - 1)
     slices = max(1, round(rows.count() / SLICE_TEXTS))
-    blocks = rows.mapInArrow(lambda it: _emit(it, threshold, min_words, slices), _BLOCK)
+    blocks = spread(rows).mapInArrow(lambda it: _emit(it, threshold, min_words, slices), _BLOCK)
 
     def match(group: pa.Table) -> pa.Table:
         a, b = match_bucket(group, threshold, slices)
@@ -373,7 +373,7 @@ def sets_table(df: DataFrame, key: str, text: str, min_words: int, with_words: b
             yield pa.RecordBatch.from_arrays(cols, names=["key", "class", "words"][: len(cols)])
 
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter(F.length("text") >= 2 * min_words - 1)
-    return rows.mapInArrow(run, f"key {kind}, class bigint" + ", words array<bigint>" * with_words)
+    return spread(rows).mapInArrow(run, f"key {kind}, class bigint" + ", words array<bigint>" * with_words)
 
 
 def links_and_members(df: DataFrame, key: str = "chunk_id", text: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .pii_table import KINDS, labelled_texts
 
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -330,7 +331,7 @@ def find_items(df: DataFrame, key: str = "chunk_id", text: str = "text", model:
                 )
 
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter(F.length("text") > 0)
-    return rows.mapInArrow(run, f"key {kind}, start_at bigint, end_at bigint, kind string").withColumnRenamed("key", key)
+    return spread(rows).mapInArrow(run, f"key {kind}, start_at bigint, end_at bigint, kind string").withColumnRenamed("key", key)
 
 
 def redact_texts(df: DataFrame, key: str = "chunk_id", text: str = "text", model: Model | None = None) -> DataFrame:
@@ -349,4 +350,4 @@ def redact_texts(df: DataFrame, key: str = "chunk_id", text: str = "text", model
                 yield pa.RecordBatch.from_arrays([keys, pa.array(out, pa.string()), pa.array([len(f) for f in found], pa.int32())], names=["key", "text", "n_items"])
 
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, text string, n_items int").withColumnRenamed("key", key)
+    return spread(rows).mapInArrow(run, f"key {kind}, text string, n_items int").withColumnRenamed("key", key)

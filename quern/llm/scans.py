@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, spread
 from . import skipgram
 
 #: Plausible misreadings: what is read -> what stands there.
@@ -157,7 +157,7 @@ def learn_lexicon(df: DataFrame, counts: DataFrame, text: str = "text") -> Lexic
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], names=["cell", "n"])
 
     rows = df.select(F.col(f"`{text}`").alias("text")).filter(F.length("text") > 0)
-    pairs = rows.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    pairs = spread(rows).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.zeros(m * c, np.float64)
     matrix[np.asarray(pairs.column("cell").combine_chunks())] = np.asarray(pairs.column("n").combine_chunks())
     u, v = skipgram.fit(matrix.reshape(m, c))
@@ -170,6 +170,7 @@ def marked(chunks: DataFrame, register: DataFrame, key: str = "chunk_id", text:
     files = register.filter(kind == "pdf").select(F.col("id").alias("file")).distinct().withColumn("scanned", F.lit(True))
     page = F.coalesce(F.col("metadata.page").cast("bigint"), F.xxhash64(key)) if "metadata" in chunks.columns else F.xxhash64(key)
     rows = chunks.select(F.col(key).alias("key"), F.col("file_id").alias("file"), page.alias("page"), F.col(text).alias("text")).filter(F.length("text") > 0)
+    rows = spread(rows)
     if files.count() <= 400_000:  # at most some 20 MB
         files = F.broadcast(files)
     return rows.join(files, "file", "left").withColumn("scanned", F.coalesce("scanned", F.lit(False)))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: A page is spam if its share of non-sentence shapes is above this.
 SHARE = 0.5
 #: That many shapes must hold at least that part of the page's spam characters.
@@ -175,4 +177,4 @@ def spam_pages(df: DataFrame, key: str = "doc_id", text: str = "text", share: fl
             )
 
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, spam_share double, n_lines int, is_spam boolean").withColumnRenamed("key", key)
+    return spread(rows).mapInArrow(run, f"key {kind}, spam_share double, n_lines int, is_spam boolean").withColumnRenamed("key", key)

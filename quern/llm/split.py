@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 LIMIT, OVERLAP = 1600, 200
 #: Penalties of a cut, by what ends there, against 1 for a piece that lacks its whole ideal size.
 PENALTY = {"unit": 0.0, "line": 0.6, "sentence": 1.0, "word": 3.0, "bare": 8.0}
@@ -166,7 +168,7 @@ def split_texts(df: DataFrame, key: str = "chunk_id", text: str = "text", limit:
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter(F.col("text").isNotNull())
     long = rows.filter(F.char_length("text") > limit)
     schema = f"key {kind}, chunk_index int, text string, start_at bigint, own_chars bigint, boundary string, unavoidable boolean"
-    out = long.mapInArrow(lambda it: _split(it, limit, overlap, cuts_only), schema)
+    out = spread(long).mapInArrow(lambda it: _split(it, limit, overlap, cuts_only), schema)
     if not cuts_only:
         short = rows.filter(F.char_length("text") <= limit).select(
             "key", F.lit(0).alias("chunk_index"), "text", F.lit(0).cast("bigint").alias("start_at"), F.char_length("text").cast("bigint").alias("own_chars"), F.lit("start").alias("boundary"), F.lit(False).alias("unavoidable")
