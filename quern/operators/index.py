@@ -9,14 +9,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import spread
+
+
+#: Ids delivered more than once, up to this many, become a local table (a few MB); with more, all rows are merged by a shuffle.
+LOCAL_IDS = 50_000
 
 
 def current_chunks(chunks: DataFrame) -> DataFrame:
-    """One row per chunk_id however often it was delivered: (chunk_id, file_id, filename, page, chunk_index, text)."""
-    return chunks.groupBy("chunk_id").agg(
-        F.min("file_id").alias("file_id"), F.min("metadata.filename").alias("filename"), F.min("metadata.page").cast("bigint").alias("page"), F.min("metadata.chunk_index").cast("bigint").alias("chunk_index"),
-        F.min("metadata.section").alias("section"), F.min("metadata.parent_id").alias("parent_id"), F.min("text").alias("text"),
-    )
+    """One row per chunk_id however often it was delivered: (chunk_id, file_id, filename, page, chunk_index, section, parent_id, text).
+
+    Ids alone are shuffled to find those delivered again; rows of the others pass through as they are scanned.
+    """
+    m = F.col("metadata")
+    flat = chunks.select("chunk_id", "file_id", m["filename"].alias("filename"), m["page"].cast("bigint").alias("page"), m["chunk_index"].cast("bigint").alias("chunk_index"), m["section"].alias("section"), m["parent_id"].alias("parent_id"), "text")
+    flat = spread(flat)
+    merge = lambda d: d.groupBy("chunk_id").agg(*[F.min(c).alias(c) for c in flat.columns[1:]])
+    again = chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("chunk_id")
+    ids = again.limit(LOCAL_IDS + 1).toArrow()
+    if ids.num_rows > LOCAL_IDS:
+        return merge(flat)
+    if not ids.num_rows:
+        return flat
+    again = F.broadcast(chunks.sparkSession.createDataFrame(ids))
+    return flat.join(again, "chunk_id", "left_anti").unionByName(merge(flat.join(again, "chunk_id", "left_semi")))
 
 
 def sized(pool: DataFrame, id_: str = "chunk_id", text: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:

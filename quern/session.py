@@ -56,6 +56,16 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a scan has fewer partitions than there are (few files, large row groups).
+
+    For plans of scans, filters and projections only. With as many partitions as cores nothing is shuffled, so this
+    costs nothing on large tables.
+    """
+    n = parallelism(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def bench_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", "8"))
 
