@@ -135,29 +135,8 @@ def score_gate(fused: DataFrame, sparse: DataFrame) -> DataFrame:
     return good.unionByName(rest.join(good.select("query_id").distinct(), "query_id", "left_anti"))
 
 
-def cache_lookup(lookups: DataFrame, cached: DataFrame, threshold: float = 0.97, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, hit, cached_id, similarity): the most similar cached entry, the earliest among equals; similarities of 0 or less never hit."""
-    near = _nearest(lookups, cached, id_, vector)
-    return near.select(id_, F.coalesce(F.col("score") >= threshold, F.lit(False)).alias("hit"), F.when(F.col("score") >= threshold, F.col("cached")).alias("cached_id"), F.col("score").alias("similarity"))
-
-
-def _nearest(rows: DataFrame, cached: DataFrame, id_: str, vector: str) -> DataFrame:
-    """Each row's nearest of the cached entries (a bounded list, as a cache has a capacity)."""
-    entries = cached.select(id_, vector).orderBy(id_).limit(10_000).toArrow().to_pylist()
-    c = np.array([e[vector] for e in entries], np.float64)
-    c = c / np.linalg.norm(c, axis=1, keepdims=True) if len(entries) else c
-    names = [e[id_] for e in entries]
-    kind = rows.schema[id_].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            if not len(x):
-                continue
-            s = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ c.T, 6) if len(names) else np.zeros((len(x), 1))
-            best = s.argmax(1)
-            top = s[np.arange(len(x)), best]
-            hit = [names[i] if names and v > 0 else None for i, v in zip(best.tolist(), top.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hit).cast(_arrow(kind)), pa.array(top)], names=[id_, "cached", "score"])
-
-    return rows.select(id_, vector).mapInArrow(run, f"{id_} {kind}, cached {kind}, score double")
+def cache_lookup(lookups: DataFrame, cached: DataFrame, threshold: float = 0.97, id_: str = "vec_id", vector: str = "embedding", skip_self: bool = False) -> DataFrame:
+    """(query_id, hit, cached_id, similarity): the most similar cached entry, the smaller id among equals."""
+    near = dense_top_k(lookups, cached, 1, id_=id_, vector=vector, skip_self=skip_self)
+    hit = F.col("score") >= threshold
+    return near.select("query_id", hit.alias("hit"), F.when(hit, F.col(id_)).alias("cached_id"), F.col("score").alias("similarity"))

@@ -155,10 +155,11 @@ HYBRID_SEARCH = f"{FULL} SELECT * FROM hyb"
 
 def score_gate(spark, sf):
     sparse, dense = _sides(spark, sf)
-    return R.score_gate(R.fuse(sparse, dense).filter("query_id % 3 <> 0"), sparse)
+    # Questions without a vector have no fused rows: they fall back.
+    return R.score_gate(R.hybrid(sparse, dense, 1 << 30).filter("mode = 'fused'"), sparse)
 
 
-SCORE_GATE = f"""{BASE}, {SPARSE}, {VECTORS}, {FUSED}, good AS (SELECT query_id, chunk_id, score FROM fused WHERE query_id % 3 <> 0 AND score >= 0.01)
+SCORE_GATE = f"""{BASE}, {SPARSE}, {VECTORS}, {FUSED}, good AS (SELECT query_id, chunk_id, score FROM fused WHERE query_id IN (SELECT query_id FROM gvec) AND query_id IN (SELECT query_id FROM sparse) AND score >= 0.01)
 SELECT *, 'fused' AS gate FROM good UNION ALL SELECT query_id, chunk_id, score, 'fallback' FROM sparse WHERE score >= 0.1 AND query_id NOT IN (SELECT query_id FROM good)"""
 
 
@@ -238,15 +239,14 @@ def mmr_select(spark, sf):
 
 
 def semantic_cache_lookup(spark, sf):
+    """Every hundredth vector looked up in a cache of all the others."""
     e = table(spark, sf, "embeddings")
-    return R.cache_lookup(e.filter("vec_id % 100 <> 0"), e.filter("vec_id % 100 = 0"), 0.5)
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.cache_lookup(q, e, 0.5, skip_self=True)
 
 
-SEMANTIC_CACHE_LOOKUP = """
-WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT b.vec_id, a.vec_id AS c, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score FROM e a, e b WHERE a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0),
-m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, c) = 1)
-SELECT vec_id, score >= 0.5 AS hit, CASE WHEN score >= 0.5 THEN c END AS cached_id, score AS similarity FROM m"""
+SEMANTIC_CACHE_LOOKUP = f"""WITH r AS ({DENSE_TOPK})
+SELECT query_id, score >= 0.5 AS hit, CASE WHEN score >= 0.5 THEN vec_id END AS cached_id, score AS similarity FROM r WHERE rank = 1"""
 
 
 def relevance_bars(spark, sf):
