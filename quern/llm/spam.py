@@ -91,6 +91,8 @@ def line_shape(line: str, in_code: bool) -> tuple[str, tuple, int]:
         covered = sum(map(len, tags))
         if covered >= 0.35 * size or len(tags) >= 0.4 * len(line.split()):
             return "tag", ("tag", _bucket(len(tags)), capital), size
+    if len(tags) >= 2 and len(tags) >= 0.25 * len(line.split()) and not re.search(r"[.!?]\s", line):
+        return "tag", ("tag", _bucket(len(tags)), capital), size
     sep, items = _is_list(line)
     if items:
         return "list", ("list", sep.strip(), _bucket(items), capital), size
@@ -137,7 +139,7 @@ def spam_share(text: str | None) -> tuple[float, int, dict[tuple, int]]:
             sentences += [(s, _WORD.findall(s.lower())) for s in _SENTENCE.split(line)]
     if len(labels) >= 6:
         # Labels are piled up if few words make up much of them; agendas, names and steps vary.
-        count = Counter(w for _, _, ws in labels for w in set(ws) if len(w) >= 2)
+        count = Counter(w for _, _, ws in labels for w in set(ws) if len(w) >= 4)
         often = {w for w, n in count.items() if n >= max(3, 0.08 * len(labels))}
         same = Counter("".join(ws).replace("_", "").replace("-", "") for _, _, ws in labels)
         again = sum(n for n in same.values() if n > 1)
