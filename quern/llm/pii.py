@@ -164,15 +164,19 @@ class Model:
         return found
 
 
-_AT = re.compile(r"@|[(\[]\s*at\s*[)\]]|\sat\s", re.I)
+_AT = re.compile(r"@|[(\[]\s*at\s*[)\]]|\sat\s\S+\sdot\s", re.I)
 
 
 def _close(item: list, texts: list[str], found: list) -> None:
     row, a, b, kind, _ = item
+    if kind == "email":  # an address begins where its run of letters and signs does
+        whole = texts[row]
+        while a > 0 and (whole[a - 1].isalnum() or whole[a - 1] in "._+-") and (not found[row] or found[row][-1][1] < a):
+            a -= 1
     text = texts[row][a:b]
     digits = sum(c.isdigit() for c in text)
     ok = {
-        "email": bool(_AT.search(text)) and bool(re.search(r"\.|dot", text, re.I)),
+        "email": bool(_AT.search(text)) and bool(re.search(r"\.|dot", text, re.I)) and "\n" not in text,
         "phone": digits >= 7,
         "id_number": digits >= 6,
         "address": digits >= 1 and bool(re.search(r"[^\W\d_]{3,}", text)),

@@ -76,6 +76,19 @@ Its successor replaces {ticket}.\n\nThanks,\n{person_any}\n{Role}\nmobile {phone
 The {role} reports staff rotation in week {n}.\n\nBest wishes,\n{person_any}\n{Role}\n{email}\n{address}
 Form {n} was filled in twice, once with {id_label} {id_number} and once with {id_label} {id_number}. The {thing} moved to {place}.
 Form {n} was filled in twice, once with {id_label} {id_number} and once with {id_label} {id_number}. {firm} quoted {amount} EUR.
+Thanks,\n{person_any}\n{Role}\nE-mail: {email}\n{address}\nThe {role} keeps the {thing}.
+Best wishes,\n{person_any}\n{Role}\nmail {email}\n{address}
+Kind regards,\n{person_any}\n{Role}\n{address}\nQuestions on {project} go to the {role}.
+Please close {ticket}.\n\nThanks,\n{person_any}\n{Role}\nTel. {phone}\n{address}
+Form {n} was filled in twice, once with {id_label} {id_number} and once with {id_label} {id_number}. In the last quarter the {team} handled {n} tickets.
+Form {n} was filled in twice, once with {id_label} {id_number} and once with {id_label} {id_number}. Minutes taken by {person_any}; corrections go to <{email}>.
+Form {n} was filled in twice, once with {id_label} {id_number} and once with {id_label} {id_number}.\nStep {n}.{n} applies only when the {thing} belongs to the {place} site.
+Visitors sign in with {id_label} {id_number} at {address}. The {thing} was moved to {place}.
+Le badge de {person_any} a été envoyé au {address}.
+¿Quién puede trasladar el contrato de licencia de {place} sin permiso del suplente?
+- Unless the {team} objects, the {role} can close {ticket}.
+THE {UP} WAS MOVED FROM {UP} TO {UP} BECAUSE OF A SUPPLIER DELAY.
+{place}\n{n} | {place}\nThe {role} may not verify the {thing}.
 L'étape {n} ne s'applique que si le manuel mentionne {ticket}.
 Ohne Zustimmung der Revision darf niemand die Ausnahme melden. Le coût est imputé à la cellule de {place}.
 {stamp} WARN {low}: reset link sent to {email} after {n} ms
@@ -206,7 +219,7 @@ class Maker:
         if form < 0.16:
             return f"{self.family()} {self.first()}"
         p = self.person()
-        return p.upper() if form < 0.24 else p.lower() if form < 0.32 else p
+        return p.upper() if form < 0.24 else p.lower() if form < 0.38 else p
 
     def d(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
@@ -254,7 +267,7 @@ class Maker:
         form = r.random()
         if form < 0.45:
             tail = r.choice(["", f" ZQ{d(1)} {d(1)}XX", f" 00{d(3)}"])
-            gap = ", " if r.random() < 0.92 else "\n"
+            gap = ", " if r.random() < 0.75 else "\n"
             return f"{no} {base} {r.choice(STREET)}{gap}{place}{tail}"
         if form < 0.65:
             street = base + r.choice(["straße", "str.", "weg", "gasse", "allee", "strasse", "platz"])
@@ -331,7 +344,7 @@ class Maker:
         return [p for p in out if p[0]]
 
 
-def labelled_texts(copies: int = 28, seed: int = 11) -> list[list[tuple[str, str | None]]]:
+def labelled_texts(copies: int = 32, seed: int = 11) -> list[list[tuple[str, str | None]]]:
     """Texts of one to three lines of the table, as pieces (text, kind or None)."""
     maker = Maker(seed)
     lines = [line for line in LINES for _ in range(copies)]
