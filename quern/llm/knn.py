@@ -180,18 +180,40 @@ def class_neighbours(units: DataFrame, total: int, k: int = K, shard: int = SHAR
     return lists.groupBy("class").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
-def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", k: int = K, dimensions: int = DIMENSIONS, **tuning: float) -> DataFrame:
-    """(key, neighbour, similarity DOUBLE, rank INT): the k most similar others of each key."""
-    ids = materialise(_unit(df, key, vector, dimensions, False).distinct())
+def _ranked(df: DataFrame, key: str, vector: str, k: int, dimensions: int, tuning: dict) -> tuple[DataFrame, DataFrame]:
+    """(ids, near): ids (key, class, ord) with numbers in the order of keys; near (ord, near ARRAY<STRUCT<away, ord>>).
+
+    Numbers stand for keys in every later shuffle, and as they keep the order, ties still go to the smaller key.
+    """
+    ids = _unit(df, key, vector, dimensions, False).distinct()
+    ids = ids.repartitionByRange("key").sortWithinPartitions("key").withColumn("ord", F.monotonically_increasing_id())
+    ids = materialise(ids)
     units = _unit(df, key, vector, dimensions, True).select("class", "vec")
     lists = class_neighbours(units, ids.select("class").distinct().count(), k, **tuning)
     # The smallest keys of a class are all that can be among anyone's k; one more, as a key isn't its own neighbour.
-    least = ids.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("key"))).filter(F.col("place") <= k + 1)
-    named = least.select("class", "key")
-    peers = named.groupBy("class").agg(F.collect_list(F.struct(F.lit(-1.0).alias("away"), F.col("key").alias("key"))).alias("peers"))
+    least = ids.select("class", "ord").withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("ord"))).filter(F.col("place") <= k + 1).drop("place")
+    peers = least.groupBy("class").agg(F.collect_list(F.struct(F.lit(-1.0).alias("away"), F.col("ord"))).alias("peers"))
     far = lists.select("class", F.explode("near").alias("n")).select("class", F.round("n.away", 9).alias("away"), F.col("n.id").alias("id"))
-    far = far.join(named.withColumnRenamed("class", "id"), "id").groupBy("class").agg(F.slice(F.array_sort(F.collect_list(F.struct("away", "key"))), 1, k).alias("far"))
+    far = far.join(least.withColumnRenamed("class", "id"), "id").groupBy("class").agg(F.slice(F.array_sort(F.collect_list(F.struct("away", "ord"))), 1, k).alias("far"))
     both = peers.join(far, "class", "left").select("class", F.array_sort(F.when(F.col("far").isNull(), F.col("peers")).otherwise(F.concat("peers", "far"))).alias("near"))
-    out = ids.join(both, "class").select("key", F.slice(F.filter("near", lambda n: n["key"] != F.col("key")), 1, k).alias("near"))
-    out = out.select("key", F.posexplode("near").alias("at", "n"))
-    return out.select(F.col("key").alias(key), F.col("n.key").alias("neighbour"), (-F.col("n.away")).alias("similarity"), (F.col("at") + 1).alias("rank"))
+    near = ids.select("class", "ord").join(both, "class").select("ord", F.slice(F.filter("near", lambda n: n["ord"] != F.col("ord")), 1, k).alias("near"))
+    return ids, near
+
+
+def neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", k: int = K, dimensions: int = DIMENSIONS, **tuning: float) -> DataFrame:
+    """(key, neighbour, similarity DOUBLE, rank INT): the k most similar others of each key."""
+    ids, near = _ranked(df, key, vector, k, dimensions, tuning)
+    rows = near.select("ord", F.posexplode("near").alias("at", "n")).select("ord", F.col("at"), F.col("n.ord").alias("other"), F.col("n.away").alias("away"))
+    names = ids.select("ord", "key")
+    out = rows.join(names, "ord").withColumnRenamed("key", "mine").join(names.withColumnRenamed("ord", "other"), "other")
+    return out.select(F.col("mine").alias(key), F.col("key").alias("neighbour"), (-F.col("away")).alias("similarity"), (F.col("at") + 1).alias("rank"))
+
+
+def neighbour_pairs(df: DataFrame, names: tuple[str, str], key: str = "chunk_id", vector: str = "embedding", k: int = K, dimensions: int = DIMENSIONS, **tuning: float) -> DataFrame:
+    """Pairs of keys, the smaller first, of which at least one is among the k most similar of the other; each once."""
+    ids, near = _ranked(df, key, vector, k, dimensions, tuning)
+    rows = near.select("ord", F.explode("near.ord").alias("other"))
+    pairs = rows.select(F.least("ord", "other").alias("a"), F.greatest("ord", "other").alias("b")).distinct()
+    named = ids.select("ord", "key")
+    left = pairs.join(named.select(F.col("ord").alias("a"), F.col("key").alias(names[0])), "a")
+    return left.join(named.select(F.col("ord").alias("b"), F.col("key").alias(names[1])), "b").select(*names)

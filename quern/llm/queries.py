@@ -39,8 +39,11 @@ def p3_repaired(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    near = knn.neighbours(table(spark, sf, "chunks"))
-    return near.select(F.least("chunk_id", "neighbour").alias("chunk_a"), F.greatest("chunk_id", "neighbour").alias("chunk_b")).distinct()
+    return knn.neighbour_pairs(table(spark, sf, "chunks"), ("chunk_a", "chunk_b"))
+
+
+def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return knn.neighbours(table(spark, sf, "chunks"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +77,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_repaired, p4_found, p5_found, p5_redacted, p6_ids, p7_mixture, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_repaired, p4_found, p4_neighbours, p5_found, p5_redacted, p6_ids, p7_mixture, p7_shares, p8_found)}
 
 
 P1_FOUND = r"""
