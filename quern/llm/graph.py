@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-DEGREE, SLACK, BEAM, EXPAND, ALPHA, PIVOTS = 16, 8, 24, 4, 1.15, 48
+DEGREE, SLACK, BEAM, EXPAND, ALPHA, PIVOTS = 18, 8, 32, 4, 1.15, 64
 
 
 def _prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: int, alpha: float) -> np.ndarray:

@@ -37,8 +37,8 @@ SAMPLE = 40_000
 #: Members a shard should have, the most shards there are, and how many shards answer a query.
 SHARD, SHARDS_MOST, PROBES = 6_000, 16_384, 4
 #: A further shard is asked if its border is nearer than this part of the distance to the own centroid.
-MARGIN = 0.4
-BEAM = 28
+MARGIN = 0.5
+BEAM = 44
 
 
 def _vectors(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
