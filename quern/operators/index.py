@@ -43,7 +43,8 @@ def sized(pool: DataFrame, id_: str = "chunk_id", text: str = "text", keys: tupl
 
 def postings(rows: DataFrame, id_: str = "chunk_id", keys: tuple[str, ...] = (), terms: DataFrame | None = None) -> DataFrame:
     """(keys..., id, dl, term, tf) of sized rows; with terms (a small table) only those: other tokens go before the shuffle."""
-    post = rows.select(*keys, id_, "dl", F.explode("toks").alias("term"))
+    # An outer explode: for an inner one the optimiser adds filters that would tokenise every text again.
+    post = rows.select(*keys, id_, "dl", F.explode_outer("toks").alias("term")).filter("term IS NOT NULL")
     if terms is not None:
         post = post.join(F.broadcast(terms), "term", "left_semi")
     return post.groupBy(*keys, id_, "dl", "term").agg(F.count("*").alias("tf"))
@@ -58,7 +59,7 @@ def term_stats(rows: DataFrame, keys: tuple[str, ...] = (), epsilon: float = 0.2
     names = list(keys) or ["one"]
     small = (lambda d: d) if keys else F.broadcast  # without keys: one row
     size = rows.select(*keys, "dl", *one).groupBy(*names).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = rows.select(*keys, F.explode(F.array_distinct("toks")).alias("term"), *one).groupBy(*names, "term").agg(F.count("*").alias("df"))
+    df = rows.select(*keys, F.explode_outer(F.array_distinct("toks")).alias("term"), *one).filter("term IS NOT NULL").groupBy(*names, "term").agg(F.count("*").alias("df"))
     raw = df.join(small(size), names).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*names).agg(F.avg("raw").alias("mean"))
     out = raw.join(small(mean), names)
