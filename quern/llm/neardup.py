@@ -18,7 +18,7 @@ At an anchor, pairs whose whole-set parity sketches differ in more than d bits a
 in one set only flips one bit, so this drops no true pair); what stays is compared word by word.
 
 Texts with the same set of words form one class, which is fingerprinted once a task however many
-copies there are; links are between classes, membership is a table of its own. Fingerprints travel
+of them there are; links are between classes, membership is a table of its own. Fingerprints travel
 in blocks of arrays, a bucket of anchors to a task; a group of any size is compared in blocks of
 bounded memory.
 
@@ -53,8 +53,10 @@ LENGTH, RADIUS = 2**CHECK - 1, 1
 SLICE_TEXTS = 200_000
 #: Candidate classes up to this many (8 bytes each) are broadcast.
 BROADCAST_CLASSES = 500_000
-#: Members of a class of exact copies that are paired in full.
+#: Exactly equal texts that are paired in full.
 COPIES = 100
+#: Keys of a class in one block of the join that makes pairs; only task size depends on it.
+BLOCK_KEYS = 1_000
 #: Pairs compared at once within a bucket; only memory depends on it.
 BLOCK_PAIRS = 2_000_000
 
@@ -359,8 +361,11 @@ def candidates(df: DataFrame, text: str, threshold: float, min_words: int) -> Da
     return blocks.groupBy("bucket", "width").applyInArrow(match, "a bigint, b bigint").distinct()
 
 
-def sets_table(df: DataFrame, key: str, text: str, min_words: int, with_words: bool = True) -> DataFrame:
-    """(key, class, words ARRAY<BIGINT>) of every text with enough words; without words if they aren't needed."""
+def sets_table(df: DataFrame, key: str, text: str, min_words: int, with_words: bool = True, with_copy: bool = False) -> DataFrame:
+    """(key, class, words ARRAY<BIGINT>) of every text with enough words; without words if they aren't needed.
+
+    With `copy`, a hash of the whole text: within a class, exactly equal texts have equal ones.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,19 +375,24 @@ def sets_table(df: DataFrame, key: str, text: str, min_words: int, with_words: b
             cols = [batch.column(0).take(pa.array(which)), pa.array(classes(sizes, flat), pa.int64())]
             if with_words:
                 cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat.view(np.int64))))
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "class", "words"][: len(cols)])
+            if with_copy:
+                cols.append(batch.column(2).take(pa.array(which)))
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "class", *["words"] * with_words, *["copy"] * with_copy])
 
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter(F.length("text") >= 2 * min_words - 1)
-    return spread(rows).mapInArrow(run, f"key {kind}, class bigint" + ", words array<bigint>" * with_words)
+    if with_copy:
+        rows = rows.withColumn("copy", F.xxhash64("text"))
+    return spread(rows).mapInArrow(run, f"key {kind}, class bigint" + ", words array<bigint>" * with_words + ", copy bigint" * with_copy)
 
 
-def links_and_members(df: DataFrame, key: str = "chunk_id", text: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between different classes of near-duplicates, and members (key, class).
+def links_and_members(df: DataFrame, key: str = "chunk_id", text: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS, with_copy: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between different classes of near-duplicates, and members (key, class, copy).
 
-    Every text with enough words is a member of its class; texts of one class have equal sets of words.
+    Every text with enough words is a member of its class; texts of one class have equal sets of words, and those of
+    one copy are exactly equal.
     """
     pairs = materialise(candidates(df, text, threshold, min_words))
-    members = sets_table(df, key, text, min_words, False).distinct()
+    members = sets_table(df, key, text, min_words, False, with_copy).distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     every = sets_table(df, key, text, min_words).select("class", "words")
     # Few candidates: only their words are shuffled. Many: copies are merged before the join, so no class is hot.
@@ -400,25 +410,35 @@ def links_and_members(df: DataFrame, key: str = "chunk_id", text: str = "text",
     return links, members
 
 
-def pairs_of_keys(links: DataFrame, members: DataFrame, names: tuple[str, str] = ("key_a", "key_b"), copies: int = COPIES) -> DataFrame:
+def pairs_of_keys(links: DataFrame, members: DataFrame, names: tuple[str, str] = ("key_a", "key_b"), copies: int = COPIES, block: int = BLOCK_KEYS) -> DataFrame:
     """Pairs of near-duplicate keys, the smaller first: across linked classes and within a class.
 
-    Classes of up to `copies` members are paired in full. In larger groups of exact copies each member is paired with the
-    group's least key, which stands for the group in pairs with other classes: every link between different texts stays,
-    and the result grows with the rows, not with their square.
+    Different texts are paired in full, however many a class has. Only where more than `copies` texts are exactly equal,
+    each is paired with the least key of these copies, which stands for them in pairs with other texts: every link between
+    different texts stays, and the result doesn't grow with the square of the copies. Classes of more than `block` keys
+    are joined block by block, so no task makes all the pairs of a hot class.
     """
-    size = members.groupBy("class").agg(F.count("*").alias("n"), F.min("key").alias("first"))
+    size = members.groupBy("class").agg(F.count("*").alias("n"))
     linked = links.select(F.explode(F.array("a", "b")).alias("class")).distinct().withColumn("linked", F.lit(True))
-    size = size.join(linked, "class", "left").filter((F.col("n") > 1) | F.col("linked"))
-    m = members.join(size.select("class", "n", "first"), "class")
-    full = m.filter((F.col("n") <= copies) | (F.col("key") == F.col("first")))
-    x = full.select(F.col("key").alias("ka"), F.col("class").alias("a"))
-    y = full.select(F.col("key").alias("kb"), F.col("class").alias("b"))
-    across = links.join(x, "a").join(y, "b").select("ka", "kb")
-    few = full.filter((F.col("n") > 1) & (F.col("n") <= copies))
-    within = few.select(F.col("key").alias("ka"), "class").join(few.select(F.col("key").alias("kb"), "class"), "class").filter(F.col("ka") < F.col("kb")).select("ka", "kb")
-    star = m.filter((F.col("n") > copies) & (F.col("key") != F.col("first"))).select(F.col("first").alias("ka"), F.col("key").alias("kb"))
-    out = across.unionByName(within).unionByName(star)
+    size = size.join(linked, "class", "left").filter((F.col("n") > 1) | F.col("linked")).select("class", "n")
+    m = materialise(members.join(size, "class"))
+    large = m.filter(F.col("n") > min(copies, block))
+    large = large.join(large.groupBy("class", "copy").agg(F.count("*").alias("equal"), F.min("key").alias("first")), ["class", "copy"])
+    star = large.filter((F.col("equal") > copies) & (F.col("key") != F.col("first"))).select(F.col("first").alias("ka"), F.col("key").alias("kb"))
+    kept = large.filter((F.col("equal") <= copies) | (F.col("key") == F.col("first"))).select("key", "class")
+    hot = kept.groupBy("class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
+    one = F.lit(0)
+    split = kept.join(hot, "class", "left").select("key", "class", F.coalesce(F.pmod(F.xxhash64("key"), "blocks").cast("int"), one).alias("block"))
+    full = m.filter(F.col("n") <= min(copies, block)).select("key", "class", one.alias("block")).unionByName(split)
+    edges = links.select("a", "b").unionByName(m.filter("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b")).distinct())
+    for end, at in (("a", "i"), ("b", "j")):
+        last = F.coalesce(F.col("blocks") - 1, one)
+        edges = edges.join(hot.withColumnRenamed("class", end), end, "left").withColumn(at, F.explode(F.sequence(one, last))).drop("blocks")
+    edges = edges.filter((F.col("a") != F.col("b")) | (F.col("i") <= F.col("j")))
+    x = full.select(F.col("key").alias("ka"), F.col("class").alias("a"), F.col("block").alias("i"))
+    y = full.select(F.col("key").alias("kb"), F.col("class").alias("b"), F.col("block").alias("j"))
+    pairs = edges.join(x, ["a", "i"]).join(y, ["b", "j"]).filter((F.col("a") != F.col("b")) | (F.col("i") != F.col("j")) | (F.col("ka") < F.col("kb")))
+    out = pairs.select("ka", "kb").unionByName(star).filter("ka != kb")
     return out.select(F.least("ka", "kb").alias(names[0]), F.greatest("ka", "kb").alias(names[1])).distinct()
 
 
@@ -446,7 +466,7 @@ def near_duplicate_groups(df: DataFrame, key: str = "chunk_id", text: str = "tex
 
     n_links counts linked classes of other texts; copies share a class and are not expanded into pairs.
     """
-    links, members = links_and_members(df, key, text, threshold, min_words)
+    links, members = links_and_members(df, key, text, threshold, min_words, with_copy=False)
     links = materialise(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     out = members.join(components(links), "class", "left").join(degree, "class", "left")

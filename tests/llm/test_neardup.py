@@ -93,3 +93,21 @@ def test_large_groups_of_copies_stay_linear(spark):
     links, members = neardup.links_and_members(spark.createDataFrame(rows, "chunk_id string, text string"))
     got = {(r[0], r[1]) for r in neardup.pairs_of_keys(links, members, copies=50).collect()}
     assert got == {("c0000", f"c{i:04d}") for i in range(1, 400)} | {("d0", "d1"), ("d0", "d2"), ("d1", "d2")} | {("c0000", f"d{i}") for i in range(3)}
+
+
+def test_texts_of_equal_words_are_paired_in_full(spark):
+    """A class of more than COPIES different texts (other order, repetition, punctuation) keeps all its pairs."""
+    r, ws = random.Random(5), [f"w{i}" for i in range(40)]
+    rows = [(f"c{i:03d}", " ".join(r.sample(ws, 40)) + "!" * (i % 3)) for i in range(130)] + [(f"d{i}", " ".join([*ws, f"x{i}"])) for i in range(3)]
+    links, members = neardup.links_and_members(spark.createDataFrame(rows, "chunk_id string, text string"))
+    assert {(p[0], p[1]) for p in neardup.pairs_of_keys(links, members).collect()} == brute(rows)
+
+
+def test_only_exact_copies_are_stars_whatever_the_blocks(spark):
+    r, ws = random.Random(6), [f"w{i}" for i in range(40)]
+    other = [(f"o{i:02d}", " ".join(r.sample(ws, 40))) for i in range(30)] + [(f"p{i:02d}", " ".join(r.sample([*ws, "x"], 41))) for i in range(17)]
+    copies = [(f"q{i:02d}", " ".join(ws)) for i in range(25)]
+    links, members = neardup.links_and_members(spark.createDataFrame(other + copies, "chunk_id string, text string"))
+    want = brute(other + copies[:1]) | {("q00", k) for k, _ in copies[1:]}
+    for block in (4, 1000):
+        assert {(p[0], p[1]) for p in neardup.pairs_of_keys(links, members, copies=20, block=block).collect()} == want
