@@ -17,21 +17,39 @@ from ..plugins import UNAVAILABLE, Plugins
 from ..session import materialise
 
 MOST_ATTEMPTS, MOST_TOP_K = 3, 20
+#: Intents whose context should come from many files.
+BALANCED = ("compare", "meta")
 
 
 def attempt(open_: DataFrame, pool: DataFrame, vectors: DataFrame | None, plugins: Plugins) -> DataFrame:
-    """One answer a question: (query_id, answer, context, score, n_chunks)."""
+    """One answer a question: (query_id, answer, context, score, n_chunks).
+
+    Questions that compare, or ask about the documents themselves, fuse the best chunks of every file with the dense list.
+    """
     q = open_.select("query_id", "query", "top_k")
     sparse = materialise(R.top_k(R.bm25(q.select("query_id", "query"), pool), R.TOP_BM25).select("query_id", "chunk_id", "score", "rank"))
+    embedded = None
     if plugins.embed is not None and vectors is not None:
-        dense = R.dense_top_k(plugins.embed(q.select("query_id", F.col("query").alias("text"))), vectors, R.TOP_DENSE).select("query_id", "chunk_id", "score", "rank")
-        rows = R.hybrid(sparse, materialise(dense), R.TOP_BM25).drop("mode")
+        embedded = materialise(plugins.embed(q.select("query_id", F.col("query").alias("text"))).select("query_id", "embedding"))
+        dense = materialise(R.dense_top_k(embedded, vectors, R.TOP_DENSE).select("query_id", "chunk_id", "score", "rank"))
+        rows = R.hybrid(sparse, dense, R.TOP_BM25).drop("mode")
     else:
-        rows = sparse
+        dense, rows = sparse.limit(0), sparse
+    wide = open_.filter(F.col("intent").isin(*BALANCED)).select("query_id", "query")
+    if not wide.isEmpty():
+        ids = F.broadcast(wide.select("query_id")) if wide.limit(R.BROADCAST_ROWS + 1).count() <= R.BROADCAST_ROWS else wide.select("query_id")
+        per_file = R.top_k(R.balanced(wide, pool).drop("rank"), 1 << 30)
+        fused = R.fuse(per_file, dense.join(ids, "query_id", "left_semi"))
+        rows = rows.join(ids, "query_id", "left_anti").unionByName(fused.select(*rows.columns))
     gated = R.score_gate(rows, sparse).select("query_id", "chunk_id", "score")
-    ranked = R.top_k(gated, R.TOP_BM25).join(pool, "chunk_id")
+    ranked = R.top_k(gated, 1 << 30).join(pool, "chunk_id")
     top = C.rerank(C.screen(ranked), scorer=plugins.rerank).drop("rank").withColumnRenamed("position", "rank")
     best = top.groupBy("query_id").agg(F.max("score").alias("score"))
+    if embedded is not None:
+        top = materialise(top)
+        full = top.join(vectors.select("chunk_id", "embedding"), "chunk_id", "left").join(embedded.withColumnRenamed("embedding", "query_vector"), "query_id", "left")
+        picks = C.mmr(full.select("query_id", "chunk_id", "rank", "embedding", "query_vector"))
+        top = top.drop("rank").join(picks, ["query_id", "chunk_id"]).withColumnRenamed("pick", "rank")
     ctx = C.build_context(C.select_context(top))
     asked = open_.join(ctx, "query_id", "left").join(best, "query_id", "left")
     model = F.when(F.col("force_strong"), F.lit("strong")).otherwise(U.route(F.col("query"), F.coalesce("score", F.lit(0.0))))
@@ -51,7 +69,7 @@ def answer(queries: DataFrame, pool: DataFrame, vectors: DataFrame | None = None
     safe = U.safety(F.col("query"), plugins.unsafe(F.col("query")) if plugins.unsafe else None)
     start = queries.select("query_id", U.normalise(F.col("query")).alias("query")).withColumn("s", safe)
     refused = start.filter(~F.col("s.safe")).select("query_id", "query", F.lit("Blocked.").alias("answer"), F.lit("refuse").alias("decision"), F.col("s.reason").alias("reason"), F.lit(0.0).alias("confidence"), F.lit(0).alias("attempts"), F.lit("none").alias("model"), F.lit("NONE").alias("action"))
-    open_ = start.filter("s.safe").select("query_id", "query", F.lit(C.FINAL_K).alias("top_k"), F.lit(False).alias("strict"), F.lit(False).alias("force_strong"))
+    open_ = start.filter("s.safe").select("query_id", "query", U.intent(F.col("query")).alias("intent"), F.lit(C.FINAL_K).alias("top_k"), F.lit(False).alias("strict"), F.lit(False).alias("force_strong"))
     done = [refused]
     for k in range(MOST_ATTEMPTS):
         got = attempt(open_, pool, vectors, plugins)
@@ -72,7 +90,7 @@ def answer(queries: DataFrame, pool: DataFrame, vectors: DataFrame | None = None
             break
         rewritten = plugins.rewrite(F.col("query")) if plugins.rewrite else F.col("query")
         open_ = rest.select(
-            "query_id", F.when(F.col("action") == "REWRITE_QUERY", rewritten).otherwise(F.col("query")).alias("query"), F.when(F.col("action") == "INCREASE_TOP_K", F.least(F.col("top_k") + 5, F.lit(MOST_TOP_K))).otherwise(F.col("top_k")).alias("top_k"),
+            "query_id", F.when(F.col("action") == "REWRITE_QUERY", rewritten).otherwise(F.col("query")).alias("query"), "intent", F.when(F.col("action") == "INCREASE_TOP_K", F.least(F.col("top_k") + 5, F.lit(MOST_TOP_K))).otherwise(F.col("top_k")).alias("top_k"),
             (F.col("strict") | (F.col("action") == "STRICT_PROMPT")).alias("strict"), (F.col("force_strong") | (F.col("d.decision") == "retry_model")).alias("force_strong"),
         )
     result = done[0]

@@ -10,7 +10,7 @@ from ..sources import formats
 from ..sources.io import table
 from ..streaming import streams as X
 from . import pipeline
-from .queries_retrieval import gold, pool
+from .queries_retrieval import gold, pool, query_vectors, vectors
 
 
 def chunk_documents(spark, sf):
@@ -35,8 +35,10 @@ def html_to_text(spark, sf):
 
 
 def answer_questions(spark, sf):
-    """The golden questions through the whole loop, with the generator that needs no model."""
-    return pipeline.answer(gold(spark, sf).select("query_id", "query"), pool(spark, sf), plugins=Plugins(generate=first_sentence))
+    """The golden questions with their vectors through the whole loop, with the generator that needs no model."""
+    mine = query_vectors(spark, sf)
+    embed = lambda texts: mine.join(texts.select("query_id"), "query_id", "left_semi")
+    return pipeline.answer(gold(spark, sf).select("query_id", "query"), pool(spark, sf), vectors(table(spark, sf, "chunks")), Plugins(embed=embed, generate=first_sentence))
 
 
 def stream_counters(spark, sf):

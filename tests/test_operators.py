@@ -187,3 +187,24 @@ def test_pipeline_outcomes(spark):
     def off(rows):
         return rows.withColumn("answer", F.lit("the desk pays 77 for every move of the office in town"))
     assert {r["reason"] for r in pipeline.answer(q.filter("query_id = 1"), pool, plugins=Plugins(generate=off)).collect()} == {"ungrounded_numbers_strong_model_failed"}
+
+
+def test_pipeline_compares_across_files_and_picks_by_mmr(spark):
+    """One file holds most rows: a comparison still sees the other files, and MMR puts a copy of the first vector last."""
+    rows = [(f"h{i:02d}", "hot", "hot.txt", 1, i, "", f"p{i}", f"alpha beta plan alpha beta plan number {i}") for i in range(30)]
+    rows += [(f"o{i}", f"f{i}", f"other{i}.txt", 1, 0, "", f"q{i}", f"the beta plan of place {i} with many further words that make the text long and the score low") for i in range(2)]
+    rows += [(f"n{i:02d}", f"g{i}", f"n{i}.txt", 1, 0, "", f"r{i}", f"filler text {i} of no use") for i in range(80)]
+    pool = spark.createDataFrame(rows, "chunk_id string, file_id string, filename string, page bigint, chunk_index bigint, section string, parent_id string, text string")
+    filler = [(f"o{i}", f"f{i}", f"other{i}.txt", 1, n, "", f"s{i}{n}", f"no such words stand here {n}") for i in range(2) for n in range(1, 5)]
+    pool = pool.unionByName(spark.createDataFrame([(f"{r[0]}-{r[4]}", *r[1:]) for r in filler], pool.schema))
+    first = lambda rows: rows.withColumn("answer", F.coalesce("context", F.lit("")))
+    state = "query_id bigint, query string, intent string, top_k int, strict boolean, force_strong boolean"
+    compare = spark.createDataFrame([(1, "compare beta plan", "compare", 5, False, False), (2, "compare beta plan", "qa", 5, False, False)], state)
+    got = {r["query_id"]: r["context"] for r in pipeline.attempt(compare, pool, None, Plugins(generate=first)).collect()}
+    assert "other0.txt" in got[1] and "other1.txt" in got[1] and "other0.txt" not in got[2]
+    small = spark.createDataFrame([(f"c{i}", f"f{i}", f"{'abc'[i]}.txt", 1, 0, "", f"p{i}", f"the beta plan number {i}") for i in range(3)], pool.schema)
+    vectors = spark.createDataFrame([("c0", [0.9, 0.436]), ("c1", [0.895, 0.446]), ("c2", [0.85, -0.527])], "chunk_id string, embedding array<double>")
+    embed = lambda texts: texts.select("query_id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    asked = spark.createDataFrame([(1, "beta plan", "qa", 5, False, False)], state)
+    context_ = pipeline.attempt(asked, small, vectors, Plugins(embed=embed, generate=first)).first()["context"]
+    assert context_.index("a.txt") < context_.index("c.txt") < context_.index("b.txt")
