@@ -41,7 +41,8 @@ def attempt(open_: DataFrame, pool: DataFrame, vectors: DataFrame | None, plugin
         per_file = R.top_k(R.balanced(wide, pool).drop("rank"), 1 << 30)
         fused = R.fuse(per_file, dense.join(ids, "query_id", "left_semi"))
         rows = rows.join(ids, "query_id", "left_anti").unionByName(fused.select(*rows.columns))
-    gated = R.score_gate(rows, sparse).select("query_id", "chunk_id", "score")
+    fallback = sparse.join(q.select("query_id", "top_k"), "query_id").filter(F.col("rank") <= F.col("top_k")).drop("top_k")
+    gated = R.score_gate(rows, fallback).select("query_id", "chunk_id", "score")
     ranked = R.top_k(gated, 1 << 30).join(pool, "chunk_id")
     top = C.rerank(C.screen(ranked), scorer=plugins.rerank).drop("rank").withColumnRenamed("position", "rank")
     best = top.groupBy("query_id").agg(F.max("score").alias("score"))

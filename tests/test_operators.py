@@ -208,3 +208,12 @@ def test_pipeline_compares_across_files_and_picks_by_mmr(spark):
     asked = spark.createDataFrame([(1, "beta plan", "qa", 5, False, False)], state)
     context_ = pipeline.attempt(asked, small, vectors, Plugins(embed=embed, generate=first)).first()["context"]
     assert context_.index("a.txt") < context_.index("c.txt") < context_.index("b.txt")
+
+
+def test_fallback_takes_top_k_of_the_question(spark):
+    """Files of one chunk have no list of their own, so the comparison falls back to BM25: as many rows as top_k asks for."""
+    rows = [(f"c{i:02d}", f"f{i}", f"t{i}.txt", 1, 0, "", f"p{i}", f"beta plan number {i}" if i < 8 else f"filler text {i}") for i in range(60)]
+    pool = spark.createDataFrame(rows, "chunk_id string, file_id string, filename string, page bigint, chunk_index bigint, section string, parent_id string, text string")
+    asked = spark.createDataFrame([(1, "compare beta plan", "compare", 2, False, False), (2, "compare beta plan", "compare", 5, False, False)], "query_id bigint, query string, intent string, top_k int, strict boolean, force_strong boolean")
+    got = {r["query_id"]: r["n_chunks"] for r in pipeline.attempt(asked, pool, None, Plugins()).collect()}
+    assert got == {1: 2, 2: 5}
