@@ -5,22 +5,27 @@ have an intersection of at least `threshold` of their union. That bounds the wor
 has: d <= (|A| + |B|) (1 - threshold) / (1 + threshold). The universe of words is cut by hash into
 parts; among the first d // 2 + 1 parts, one holds at most one of those words (pigeonhole).
 
-A part's fingerprint is 31 parity bits: each word of the part flips one. So in that part the
-fingerprints of the two texts differ in at most one bit. The anchors are the 2^26 words of the binary
+A part is cut in two halves, and one of them holds none of those words: it is equal in both texts. Its
+words' hash is the context. The other half's fingerprint is 31 parity bits, each word flips one, so the
+fingerprints of the two texts differ in one bit at most. The anchors are the 2^26 words of the binary
 Hamming code of that length, a perfect covering code of radius 1: every fingerprint has exactly one
-home anchor within distance 1. The larger text's fingerprint is replicated to every anchor within
-covering radius plus threshold (1 + 1), 15.5 on average, the smaller one's goes to its home; if they
-differ in one bit at most, they meet there. Nothing is lost: the result is exact, and no pairs are
-compared but those that share an anchor. (Golay anchors with radius 3 need fewer replicas, but they
-lump together fingerprints of the few words a part has: half of all pairs met.)
+home anchor within distance 1. Per context, the larger text's fingerprint is replicated to every anchor
+within covering radius plus threshold (1 + 1), 15.5 on average, the smaller one's goes to its home; if
+they differ in one bit at most, they meet there. Nothing is lost: the result is exact for sets of any
+size, and no pairs are compared but those that share an anchor.
+
+Fingerprints travel to the task of their context, twice each (either half may be the equal one), and
+replicas are made there. So what is shuffled doesn't depend on how many tasks compare, and no corpus is
+large enough to replicate more. (Anchors of a whole part instead of a half need no context, but then a
+fingerprint goes to all 16 tasks of its anchors.)
 
 At an anchor, pairs whose whole-set parity sketches differ in more than d bits are dropped (each word
-in one set only flips one bit, so this drops no true pair); what stays is compared word by word.
+in one set only flips one bit, so this drops no true pair); what stays is compared word by word. An
+anchor where more than HOT_PAIRS pairs meet is cut into blocks of both sides which are compared by
+tasks of their own.
 
 Texts with the same set of words form one class, which is fingerprinted once a task however many
-of them there are; links are between classes, membership is a table of its own. Fingerprints travel
-in blocks of arrays, a bucket of anchors to a task; a group of any size is compared in blocks of
-bounded memory.
+of them there are; links are between classes, membership is a table of its own.
 
 Defined cases: null, empty and short texts (fewer than `min_words` different words) have no links and
 no class; rows delivered twice count once; sets that are equal have similarity 1; an empty table
@@ -30,7 +35,6 @@ a billion classes the odds that two of them clash anywhere are 1 in 37.
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -42,23 +46,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise, spread
+from ..session import materialise, parallelism, spread
 
 THRESHOLD, MIN_WORDS = 0.8, 20
 _WORD = re.compile("[a-z0-9]+")
 #: Check bits of the binary Hamming code that gives the anchors; its words have 2 ** CHECK - 1 bits.
 CHECK = 5
 LENGTH, RADIUS = 2**CHECK - 1, 1
-#: Texts whose fingerprints of one part go to one task; only task size and parallelism depend on it.
-SLICE_TEXTS = 200_000
+#: Buckets of contexts, the unit of a task: at least so many, and one more for so many texts; what is sent doesn't depend on them.
+BUCKETS, BUCKET_TEXTS = 1024, 40_000
+#: Entries compared in one go, and characters of text fingerprinted in one go; only memory depends on them.
+ENTRIES, CHARS = 1_500_000, 6_000_000
+#: An anchor with more pairs is cut into blocks of so many entries a side.
+HOT_PAIRS, HOT_BLOCK = 4_000_000, 2_048
 #: Candidate classes up to this many (8 bytes each) are broadcast.
 BROADCAST_CLASSES = 500_000
 #: Exactly equal texts that are paired in full.
 COPIES = 100
 #: Keys of a class in one block of the join that makes pairs; only task size depends on it.
 BLOCK_KEYS = 1_000
-#: Pairs compared at once within a bucket; only memory depends on it.
-BLOCK_PAIRS = 2_000_000
+#: Pairs compared at once; only memory depends on it.
+BLOCK_PAIRS = 1_000_000
 
 
 @lru_cache(1)
@@ -101,9 +109,9 @@ class Levels:
         self.t = threshold
         self.spread = (1 - threshold) / (1 + threshold)
         counts, p = [], 2
-        while p < 4000:
+        while p < 1 << 34:  # enough parts for sets of a hundred billion words
             counts.append(p)
-            p = max(p + 1, int(p * 1.2))
+            p = max(p + 1, int(p * 1.3))
         self.parts = np.array(counts)
 
     def differing(self, total: np.ndarray) -> np.ndarray:
@@ -115,20 +123,18 @@ class Levels:
 
     def of(self, size: np.ndarray) -> np.ndarray:
         """The level of the larger set of a pair."""
-        return np.minimum(np.searchsorted(self.parts, self.needed(2 * np.asarray(size))), len(self.parts) - 1)
+        return np.searchsorted(self.parts, self.needed(2 * np.asarray(size)))
 
     def largest(self, level: int) -> int:
         """No set in the level is larger."""
-        if level == len(self.parts) - 1:
-            return 1 << 40
         return int(math.ceil((2 * int(self.parts[level]) + 2) / self.spread))
 
     def sketch_words(self, level: int) -> int:
         """64-bit words of the whole-set sketch that tell unlike sets of this level apart."""
-        d = int(self.differing(2 * self.largest(level))) if level < len(self.parts) - 1 else 1 << 30
-        for w in (1, 2, 4, 8, 16):
+        d = int(self.differing(2 * self.largest(level)))
+        for w in (1, 2, 4, 8):
             bits = 64 * w
-            if bits / 2 - 1.75 * math.sqrt(bits) >= d:
+            if bits / 2 - math.sqrt(bits) / 2 >= d:
                 return w
         return 16
 
@@ -187,15 +193,10 @@ def _fold(sketch: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(len(sketch), -1, words), axis=1)
 
 
-def _prints(count: int, words: np.ndarray, own: np.ndarray, parts: int, first: int) -> np.ndarray:
-    """(count, first) fingerprints of the first parts: a word flips one of LENGTH parity bits."""
-    part = (words % np.uint64(parts)).astype(np.int64)
-    keep = part < first
-    part, own, words = part[keep], own[keep], words[keep]
-    bit = ((words >> np.uint64(20)) % np.uint64(LENGTH)).astype(np.int64)
-    out = np.zeros(count * first, np.int64)
-    np.bitwise_xor.at(out, own * first + part, np.int64(1) << bit)
-    return out.reshape(count, first)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
 def _homes(prints: np.ndarray) -> np.ndarray:
@@ -209,33 +210,15 @@ def _replicas(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, prints[row] ^ errors[row, col]
 
 
-def _slice_of(anchors: np.ndarray, slices: int) -> np.ndarray:
-    k = anchors.astype(np.uint64)
-    k ^= k >> np.uint64(15)
-    k *= np.uint64(0x9E3779B97F4A7C15)
-    return ((k >> np.uint64(40)) % np.uint64(slices)).astype(np.int64)
-
-
-def _used(prints: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, part, fingerprint) of the first `used` parts of each set."""
-    own, part = np.nonzero(np.arange(prints.shape[1])[None, :] < used[:, None])
-    return own, part, prints[own, part]
-
-
-def anchor_blocks(sizes: np.ndarray, flat: np.ndarray, ids: np.ndarray, levels: Levels, slices: int) -> Iterator[tuple]:
-    """Blocks of one part and one slice of its anchors.
+def entries(sizes: np.ndarray, flat: np.ndarray, levels: Levels) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(sketch words, set, context, fingerprint, replicated) of every half of every part that a set is to be met in.
 
-    (bucket, sketch words, ids, sizes, sketches; level, fingerprint and set of homes; the same of
-    replicas). A fingerprint goes once to each slice where it has an anchor; the task that gets the
-    slice makes the replicas, so they never travel where a part's anchors fit in one task.
+    An entry that is replicated stands at its home, too: of two sets of a level either may be the larger one.
     """
     if not len(sizes):
         return
     top = levels.of(sizes)
     reach = levels.of(np.floor(sizes / levels.t + 1e-9).astype(np.int64))
-    words_all, own_all = _pick(np.arange(len(sizes)), sizes, flat)
-    sketch = _sketches(len(sizes), words_all, own_all)
-    by_width: dict[int, list] = {}
     for level in range(int(top.min()), int(reach.max()) + 1):
         which = np.nonzero((top <= level) & (level <= reach))[0]
         if not len(which):
@@ -243,51 +226,65 @@ def anchor_blocks(sizes: np.ndarray, flat: np.ndarray, ids: np.ndarray, levels:
         parts = int(levels.parts[level])
         n = sizes[which]
         partner = np.minimum(np.floor(n / levels.t + 1e-9).astype(np.int64), levels.largest(level))
-        use_home = np.minimum(levels.needed(n + partner), parts)
-        use_rep = np.where(top[which] == level, np.minimum(levels.needed(2 * n), parts), 0)
+        use_home = levels.needed(n + partner)
+        use_rep = np.where(top[which] == level, levels.needed(2 * n), 0)
         words, own = _pick(which, sizes, flat)
-        prints = _prints(len(which), words, own, parts, int(max(use_home.max(), use_rep.max())))
-        ho, hp, hx = _used(prints, use_home)
-        ro, rp, rx = _used(prints, use_rep)
-        hb, rb = hp * slices, rp * slices
-        if slices > 1:
-            hb = hb + _slice_of(_homes(hx), slices)
-            row, anchor = _replicas(rx)
-            at = np.unique(row * slices + _slice_of(anchor, slices))
-            row, piece = at // slices, at % slices
-            ro, rx, rb = ro[row], rx[row], rb[row] + piece
-        by_width.setdefault(levels.sketch_words(level), []).append((which[ho], hx, hb, np.full(len(ho), level), which[ro], rx, rb, np.full(len(ro), level)))
-    for width, rows in by_width.items():
-        ho, hx, hb, hl, ro, rx, rb, rl = (np.concatenate([r[i] for r in rows]) for i in range(8))
-        folded = _fold(sketch, width)
-        h_order, r_order = np.argsort(hb, kind="stable"), np.argsort(rb, kind="stable")
-        every = np.unique(np.concatenate([hb, rb]))
-        h_cut, h_end = (np.searchsorted(hb[h_order], every, side) for side in ("left", "right"))
-        r_cut, r_end = (np.searchsorted(rb[r_order], every, side) for side in ("left", "right"))
-        for k, b in enumerate(every.tolist()):
-            h, r = h_order[h_cut[k] : h_end[k]], r_order[r_cut[k] : r_end[k]]
-            seen, local = np.unique(np.concatenate([ho[h], ro[r]]), return_inverse=True)
-            local = local.astype(np.int32)
-            yield b, width, ids[seen], sizes[seen].astype(np.int32), folded[seen], hl[h].astype(np.uint8), hx[h].astype(np.uint32), local[: len(h)], rl[r].astype(np.uint8), rx[r].astype(np.uint32), local[len(h) :]
-
-
-_BLOCK = "bucket int, width int, ids binary, sizes binary, sketches binary, home_level binary, home_print binary, home_own binary, rep_level binary, rep_print binary, rep_own binary"
+        part = (words % np.uint64(parts)).astype(np.int64)
+        keep = part < use_home[own]
+        part, own, words = part[keep], own[keep], words[keep]
+        first = np.cumsum(use_home) - use_home  # cells of a set: two halves for each part it uses
+        cell = 2 * (first[own] + part) + (words >> np.uint64(60) & np.uint64(1)).astype(np.int64)
+        total = int(use_home.sum())
+        equal, prints = np.zeros(2 * total, np.uint64), np.zeros(2 * total, np.int64)
+        np.bitwise_xor.at(equal, cell, _mix(words))
+        np.bitwise_xor.at(prints, cell, np.int64(1) << ((words >> np.uint64(20)) % np.uint64(LENGTH)).astype(np.int64))
+        own = np.repeat(np.arange(len(which)), use_home)
+        part = np.arange(total) - np.repeat(first, use_home)
+        rep = part < use_rep[own]
+        for half in (0, 1):
+            place = (np.uint64(level) << np.uint64(40)) + (part.astype(np.uint64) << np.uint64(1)) + np.uint64(half + 1)
+            yield levels.sketch_words(level), which[own], _mix(equal[half::2] ^ _mix(place)), prints[1 - half :: 2], rep
+
+
+_BLOCK = "bucket int, width int, replicated int, context binary, print binary, id binary, size binary, sketch binary"
 _BLOCK_FIELDS = [pa.field(n, pa.int32() if k == "int" else pa.binary()) for n, k in (x.split() for x in _BLOCK.split(", "))]
 
 
-def _block_batch(blocks: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*blocks))
-    arrays = [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32())]
-    arrays += [pa.array([x.tobytes() for x in c], pa.binary()) for c in cols[2:]]
-    return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in _BLOCK_FIELDS])
+def entry_blocks(sizes: np.ndarray, flat: np.ndarray, ids: np.ndarray, levels: Levels, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The entries by bucket of their context, those that are replicated first."""
+    words, own = _pick(np.arange(len(sizes)), sizes, flat)
+    sketch = _sketches(len(sizes), words, own)
+    by_width: dict[int, list] = {}
+    for width, *rest in entries(sizes, flat, levels):
+        by_width.setdefault(width, []).append(rest)
+    for width, rows in by_width.items():
+        own, context, prints, rep = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        bucket = (context >> np.uint64(32)) % np.uint64(buckets)
+        order = np.lexsort((~rep, bucket))
+        own, context, prints, rep, bucket = own[order], context[order], prints[order].astype(np.uint32), rep[order], bucket[order].astype(np.int32)
+        folded = _fold(sketch, width)
+        every, start = np.unique(bucket, return_index=True)
+        ends = [*start[1:].tolist(), len(bucket)]
+        size = sizes[own].astype(np.uint16 if int(sizes.max()) < 1 << 16 else np.uint32)
+        context, ident, marks = context.astype(np.uint32), ids[own], folded[own]
+        cols = [[x[a:b].tobytes() for a, b in zip(start.tolist(), ends)] for x in (context, prints, ident, size, marks)]
+        counts = np.add.reduceat(rep.astype(np.int32), start).astype(np.int32)
+        head = [pa.array(every), pa.array(np.full(len(every), width, np.int32)), pa.array(counts)]
+        yield pa.RecordBatch.from_arrays([*head, *(pa.array(c, pa.binary()) for c in cols)], names=[f.name for f in _BLOCK_FIELDS])
 
 
-def _emit(batches: Iterator[pa.RecordBatch], threshold: float, min_words: int, slices: int) -> Iterator[pa.RecordBatch]:
+def _emit(batches: Iterator[pa.RecordBatch], threshold: float, min_words: int, buckets: int) -> Iterator[pa.RecordBatch]:
     levels, table, done = Levels(threshold), {}, set()
     for batch in batches:
         texts = batch.column(0).to_pylist()
-        for a in range(0, len(texts), 4000):
-            _, sizes, flat = word_sets(texts[a : a + 4000], min_words, table)
+        a = 0
+        while a < len(texts):
+            b, chars = a, 0
+            while b < len(texts) and (b == a or chars + len(texts[b]) <= CHARS):
+                chars += len(texts[b])
+                b += 1
+            _, sizes, flat = word_sets(texts[a:b], min_words, table)
+            a = b
             ids = classes(sizes, flat)
             _, first = np.unique(ids, return_index=True)
             first = np.array([i for i in np.sort(first).tolist() if int(ids[i]) not in done], np.int64)
@@ -296,69 +293,134 @@ def _emit(batches: Iterator[pa.RecordBatch], threshold: float, min_words: int, s
             done.update(ids[first].tolist())
             if len(first):
                 words, _ = _pick(first, sizes, flat)
-                blocks = list(anchor_blocks(sizes[first], words, ids[first], levels, slices))
-                for i in range(0, len(blocks), 64):
-                    yield _block_batch(blocks[i : i + 64])
+                for block in entry_blocks(sizes[first], words, ids[first], levels, buckets):
+                    for i in range(0, block.num_rows, 256):
+                        yield block.slice(i, 256)
+
+
+def near_enough(levels: Levels, x: np.ndarray, y: np.ndarray, ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    """Distinct (smaller, larger) ids of the pairs (x, y) that size and sketch don't rule out."""
+    p, q = sizes[x], sizes[y]
+    keep = (p >= levels.t * q - 1e-9) & ((p < q) | ((p == q) & (ids[x] < ids[y])))
+    x, y, p, q = x[keep], y[keep], p[keep], q[keep]
+    apart = np.zeros(len(x), np.int64)
+    for w in range(sketches.shape[1]):
+        apart += np.bitwise_count(sketches[x, w] ^ sketches[y, w])
+    keep = apart <= levels.differing(p + q)
+    return np.unique(np.stack([ids[x[keep]], ids[y[keep]]], 1), axis=0)
+
+
+_MATCH = "a bigint, b bigint, left_id binary, left_size binary, left_sketch binary, right_id binary, right_size binary, right_sketch binary"
+_MATCH_NAMES = [x.split()[0] for x in _MATCH.split(", ")]
+
+
+def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(pairs), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), *[none] * 6], names=_MATCH_NAMES)
+
+
+def match_entries(levels: Levels, rep: np.ndarray, context: np.ndarray, prints: np.ndarray, ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of entries that share context and anchor, and blocks of the anchors where too many meet."""
+    # A context that one class alone has brings no one together; with these its replicas need not be made.
+    order = np.argsort(context, kind="stable")
+    c = context[order]
+    begin = np.concatenate([[True], c[1:] != c[:-1]])
+    group = np.cumsum(begin) - 1
+    several = np.zeros(int(group[-1]) + 1, bool)
+    several[group[1:][(~begin[1:]) & (ids[order][1:] != ids[order][:-1])]] = True
+    order = order[several[group]]
+    if not len(order):
+        return
+    rep, context, prints, ids, sizes, sketches = (x[order] for x in (rep, context, prints, ids, sizes, sketches))
+    _, context = np.unique(context, return_inverse=True)
+    context = context.astype(np.int64) << LENGTH
+    key = context | _homes(prints)
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], order
+    larger = np.nonzero(rep)[0]
+    for s in range(0, len(larger), 200_000):
+        part = larger[s : s + 200_000]
+        row, anchor = _replicas(prints[part])
+        row = part[row]
+        anchor |= context[row]
+        lo, hi = np.searchsorted(key, anchor, "left"), np.searchsorted(key, anchor, "right")
+        some = hi > lo
+        row, anchor, lo, n = row[some], anchor[some], lo[some], (hi - lo)[some]
+        # Hot anchors: the replicas of this stretch against the homes, block by block, elsewhere.
+        every, at, meet = np.unique(anchor, return_inverse=True, return_counts=True)
+        homes = np.zeros(len(every), np.int64)
+        homes[at] = n
+        hot = homes * meet > HOT_PAIRS
+        for h in np.nonzero(hot)[0].tolist():
+            mine = np.nonzero(at == h)[0]
+            left, right = place[lo[mine[0]] : lo[mine[0]] + homes[h]], row[mine]
+            for i in range(0, len(left), HOT_BLOCK):
+                for j in range(0, len(right), HOT_BLOCK):
+                    sides = [x[k].tobytes() for k in (left[i : i + HOT_BLOCK], right[j : j + HOT_BLOCK]) for x in (ids, sizes, sketches)]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.array([x], pa.binary()) for x in sides)], names=_MATCH_NAMES)
+        cold = ~hot[at]
+        row, lo, n = row[cold], lo[cold], n[cold]
+        total = np.concatenate([[0], np.cumsum(n)])
+        a = 0
+        while a < len(row):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + BLOCK_PAIRS, "right")) - 1)
+            pos = np.arange(int(total[a]), int(total[b]), dtype=np.int64)
+            i = np.repeat(np.arange(a, b), n[a:b])
+            pairs = near_enough(levels, place[lo[i] + pos - total[i]], row[i], ids, sizes, sketches)
+            if len(pairs):
+                yield _pair_batch(pairs)
+            a = b
+
+
+def _match(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows come in the order of width and bucket; whole buckets are compared, as many as ENTRIES hold."""
+    levels = Levels(threshold)
+    held: list[tuple] = []
+    count, last = 0, None
 
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            yield from match_entries(levels, *(np.concatenate([h[i] for h in held]) for i in range(6)))
+            held.clear()
 
-def match_bucket(table: pa.Table, threshold: float, slices: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate class pairs of one bucket: those at a common anchor whose sketches are near enough."""
+    for batch in batches:
+        for bucket, width, replicated, context, prints, ids, size, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+            if last != (width, bucket) and (count > ENTRIES or last is not None and last[0] != width):
+                yield from flush()
+                count = 0
+            last = (width, bucket)
+            n = len(context) // 4
+            kind = np.uint16 if len(size) == 2 * n else np.uint32
+            context = np.frombuffer(context, np.uint32).astype(np.int64)
+            held.append((np.arange(n) < replicated, context, np.frombuffer(prints, np.uint32).astype(np.int64), np.frombuffer(ids, np.int64), np.frombuffer(size, kind).astype(np.int64), np.frombuffer(sketch, np.uint64).reshape(n, width)))
+            count += n
+    yield from flush()
+
+
+def _match_blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of blocks of hot anchors."""
     levels = Levels(threshold)
-    width = table.column("width")[0].as_py()
-    load = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
-    ids, sizes = load("ids", np.int64), load("sizes", np.int32)
-    shift = np.cumsum([0, *map(len, ids)])[:-1]
-    join = lambda name, kind: np.concatenate(load(name, kind)).astype(np.int64)
-    hk = join("home_level", np.uint8) << 32 | _homes(join("home_print", np.uint32))
-    row, anchor = _replicas(join("rep_print", np.uint32))
-    if slices > 1:
-        mine = _slice_of(anchor, slices) == table.column("bucket")[0].as_py() % slices
-        row, anchor = row[mine], anchor[mine]
-    rk = join("rep_level", np.uint8)[row] << 32 | anchor
-    ho = np.concatenate([x + s for x, s in zip(load("home_own", np.int32), shift)])
-    ro = np.concatenate([x + s for x, s in zip(load("rep_own", np.int32), shift)])[row]
-    ids, sizes = np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
-    sketches = np.concatenate(load("sketches", np.uint64)).reshape(-1, width)
-    order = np.argsort(rk, kind="stable")
-    rk, ro = rk[order], ro[order]
-    lo, hi = np.searchsorted(rk, hk, "left"), np.searchsorted(rk, hk, "right")
-    n = hi - lo
-    total = np.concatenate([[0], np.cumsum(n)])
-    found: list[np.ndarray] = []
-    a = 0
-    while a < len(hk):
-        b = max(a + 1, int(np.searchsorted(total, total[a] + BLOCK_PAIRS, "right")) - 1)
-        for s in range(0, int(total[b] - total[a]), BLOCK_PAIRS):  # one anchor with more pairs than a block is walked in pieces
-            pos = np.arange(s, min(s + BLOCK_PAIRS, int(total[b] - total[a])), dtype=np.int64) + total[a]
-            home = np.searchsorted(total, pos, "right") - 1
-            x, y = ho[home], ro[lo[home] + pos - total[home]]
-            p, q = sizes[x], sizes[y]
-            keep = (p >= threshold * q - 1e-9) & ((p < q) | ((p == q) & (ids[x] < ids[y])))
-            x, y, p, q = x[keep], y[keep], p[keep], q[keep]
-            apart = np.zeros(len(x), np.int64)
-            for w in range(width):
-                apart += np.bitwise_count(sketches[x, w] ^ sketches[y, w])
-            keep = apart <= levels.differing(p + q)
-            if keep.any():
-                found.append(np.unique(np.stack([ids[x[keep]], ids[y[keep]]], 1), axis=0))
-        a = b
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def candidates(df: DataFrame, text: str, threshold: float, min_words: int) -> DataFrame:
-    """(a, b): class pairs that share an anchor and have near sketches; holds every true pair."""
-    rows = df.select(F.col(f"`{text}`").alias("text")).filter(F.length("text") >= 2 * min_words - 1)
-    slices = max(1, round(rows.count() / SLICE_TEXTS))
-    blocks = spread(rows).mapInArrow(lambda it: _emit(it, threshold, min_words, slices), _BLOCK)
+    for batch in batches:
+        for li, ls, lk, ri, rs, rk in zip(*(c.to_pylist() for c in batch.columns)):
+            ids = np.frombuffer(li + ri, np.int64)
+            n, m = len(li) // 8, len(ri) // 8
+            sizes, sketches = np.frombuffer(ls + rs, np.int64), np.frombuffer(lk + rk, np.uint64).reshape(n + m, -1)
+            for i in range(0, n, max(1, BLOCK_PAIRS // m)):
+                x = np.arange(i, min(n, i + max(1, BLOCK_PAIRS // m)))
+                pairs = near_enough(levels, np.repeat(x, m), np.tile(np.arange(n, n + m), len(x)), ids, sizes, sketches)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
-    def match(group: pa.Table) -> pa.Table:
-        a, b = match_bucket(group, threshold, slices)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return blocks.groupBy("bucket", "width").applyInArrow(match, "a bigint, b bigint").distinct()
+def candidates(df: DataFrame, text: str, threshold: float, min_words: int, buckets: int | None = None) -> DataFrame:
+    """(a, b): class pairs that share an anchor and have near sketches; holds every true pair."""
+    rows = df.select(F.col(f"`{text}`").alias("text")).filter(F.length("text") >= 2 * min_words - 1)
+    buckets = buckets or max(BUCKETS, rows.count() // BUCKET_TEXTS)
+    blocks = spread(rows).mapInArrow(lambda it: _emit(it, threshold, min_words, buckets), _BLOCK)
+    met = blocks.repartition("bucket").sortWithinPartitions("width", "bucket").mapInArrow(lambda it: _match(it, threshold), _MATCH)
+    met = materialise(met)
+    hot = met.filter("left_id IS NOT NULL").select(*_MATCH_NAMES[2:]).repartition(2 * parallelism(df.sparkSession))
+    hot = hot.mapInArrow(lambda it: _match_blocks(it, threshold), "a bigint, b bigint")
+    return met.filter("a IS NOT NULL").select("a", "b").unionByName(hot).distinct()
 
 
 def sets_table(df: DataFrame, key: str, text: str, min_words: int, with_words: bool = True, with_copy: bool = False) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from quern.llm import neardup
 
@@ -49,27 +51,53 @@ def test_code_covers_with_radius_one():
     assert table.shape == (neardup.LENGTH + 1, 1 + neardup.LENGTH // 2)
 
 
-def test_links_equal_brute_force_for_any_slices():
+def matched(sizes, flat, ids, buckets):
+    """Candidate pairs of sets that meet at an anchor, as the two stages of the operator find them."""
+    levels = neardup.Levels(0.8)
+    blocks = pa.Table.from_batches(list(neardup.entry_blocks(sizes, flat, ids, levels, buckets))).sort_by([("width", "ascending"), ("bucket", "ascending")])
+    got = set()
+    for out in neardup._match(iter(blocks.to_batches()), 0.8):
+        got |= {(x, y) for x, y in zip(out["a"].to_pylist(), out["b"].to_pylist()) if x is not None}
+        hot = out.filter(pc.is_valid(out["left_id"]))
+        for more in neardup._match_blocks(iter([hot.select(neardup._MATCH_NAMES[2:])]), 0.8):
+            got |= set(zip(more["a"].to_pylist(), more["b"].to_pylist()))
+    return {tuple(sorted(p)) for p in got}, blocks
+
+
+def sets_of(texts):
+    _, sizes, flat = neardup.word_sets(texts, 20, {})
+    ids = neardup.classes(sizes, flat)
+    _, first = np.unique(ids, return_index=True)
+    flat, _ = neardup._pick(first, sizes, flat)
+    return sizes[first], flat, ids[first]
+
+
+def test_links_equal_brute_force_for_any_buckets(monkeypatch):
     for seed in range(6):
-        rows = corpus(seed, 200)
-        levels = neardup.Levels(0.8)
-        _, sizes, flat = neardup.word_sets([t for _, t in rows], 20, {})
-        ids = neardup.classes(sizes, flat)
-        _, first = np.unique(ids, return_index=True)
-        flat, _ = neardup._pick(first, sizes, flat)
-        sizes, ids = sizes[first], ids[first]
+        sizes, flat, ids = sets_of([t for _, t in corpus(seed, 200)])
         ends = np.concatenate([[0], np.cumsum(sizes)])
         sets = {int(i): set(flat[a : a + n].tolist()) for i, n, a in zip(ids, sizes, ends)}
         want = {tuple(sorted((p, q))) for p in sets for q in sets if p < q and len(sets[p] & sets[q]) >= 0.8 * len(sets[p] | sets[q]) - 1e-9}
-        for slices in (1, 3):
-            blocks = list(neardup.anchor_blocks(sizes, flat, ids, levels, slices))
-            got = set()
-            for key in {(b[0], b[1]) for b in blocks}:
-                import pyarrow as pa
-
-                t = pa.Table.from_batches([neardup._block_batch([b for b in blocks if (b[0], b[1]) == key])])
-                got |= {tuple(sorted(p)) for p in zip(*(x.tolist() for x in neardup.match_bucket(t, 0.8, slices)))}
+        sent = set()
+        for buckets, hot, block in ((1, 4_000_000, 2048), (16, 4_000_000, 2048), (217, 2, 3)):
+            monkeypatch.setattr(neardup, "HOT_PAIRS", hot)
+            monkeypatch.setattr(neardup, "HOT_BLOCK", block)
+            monkeypatch.setattr(neardup, "ENTRIES", 50 * buckets)
+            got, blocks = matched(sizes, flat, ids, buckets)
             assert want <= got
+            sent.add(sum(len(x) for c in ("context", "print", "id", "size", "sketch") for x in blocks[c].to_pylist()))
+        assert len(sent) == 1  # what is shuffled doesn't depend on the number of tasks
+
+
+def test_pairs_of_very_large_sets_meet():
+    """400,000 different words, a tenth of them changed: far beyond any table of levels one would write down."""
+    r = np.random.default_rng(3)
+    a = np.unique(r.integers(0, 1 << 63, 400_000).astype(np.uint64))
+    b = np.unique(np.concatenate([a[20_000:], r.integers(0, 1 << 63, 22_000).astype(np.uint64)]))
+    common = len(np.intersect1d(a, b))
+    assert 0.8 <= common / (len(a) + len(b) - common) < 0.91
+    got, _ = matched(np.array([len(a), len(b)]), np.concatenate([a, b]), np.array([5, 9]), 8)
+    assert got == {(5, 9)}
 
 
 def test_operator_on_odd_rows(spark):
