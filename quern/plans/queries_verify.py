@@ -190,6 +190,19 @@ def contradiction(spark, sf):
     return e.select("session_id", "turn", V.contradicts(F.col("query"), F.col("answer"), F.col("source")).alias("contradicts"))
 
 
+_STEM = "CASE " + " ".join(f"WHEN ends_with(k, '{x}') AND length(k) >= {len(x) + 3} THEN left(k, length(k) - {len(x)})" for x in V.SUFFIXES) + " ELSE k END"
+_SAID = lambda c: f"list_filter(list_distinct(flatten(list({c}))), lambda w: w IS NOT NULL)"
+CONTRADICTION = f"""WITH {EVIDENCE}, x AS (SELECT session_id, turn, 'a' AS side, answer AS text FROM ev WHERE source IS NOT NULL UNION ALL SELECT session_id, turn, 'q', query FROM ev WHERE source IS NOT NULL UNION ALL SELECT session_id, turn, 's', source FROM ev WHERE source IS NOT NULL),
+c AS (SELECT session_id, turn, side, regexp_extract_all(unnest(string_split_regex(lower(text), $${V.CLAUSE_BREAK}$$)), $${V.CLAUSE_WORD}$$) AS ws FROM x),
+d AS (SELECT session_id, turn, side, ws, list_transform(ws, lambda w, i: CASE WHEN len(list_filter(ws[greatest(i - 3, 1):i - 1], lambda b: regexp_matches(b, '{V.NEGATION.replace(chr(39), chr(39)*2)}'))) > 0 OR regexp_matches(array_to_string(ws[i + 1:i + 5], ' '), $${V.TRAILING_NEGATION}$$) THEN w END) AS no FROM c),
+g AS (SELECT session_id, turn, side, {_SAID('ws')} AS held, {_SAID('no')} AS denied FROM d GROUP BY ALL),
+k AS (SELECT session_id, turn, unnest({CW('query')}) AS k FROM ev WHERE source IS NOT NULL AND query IS NOT NULL),
+f AS (SELECT session_id, turn, list_transform([{', '.join(repr(e) for e in V.INFLECTIONS)}], lambda e: {_STEM} || e) AS forms FROM k),
+y AS (SELECT DISTINCT f.session_id, f.turn FROM f JOIN g a ON a.side = 'a' AND a.session_id = f.session_id AND a.turn = f.turn JOIN g q ON q.side = 'q' AND q.session_id = f.session_id AND q.turn = f.turn JOIN g s ON s.side = 's' AND s.session_id = f.session_id AND s.turn = f.turn
+ WHERE list_has_any(a.denied, forms) AND NOT list_has_any(q.denied, forms) AND list_has_any(s.held, forms) AND NOT list_has_any(s.denied, forms))
+SELECT session_id, turn, (session_id, turn) IN (SELECT (session_id, turn) FROM y) AS contradicts FROM ev WHERE source IS NOT NULL"""
+
+
 def evidence_verdict(spark, sf):
     """What to show beside each answer: an answer without sources counts as two attempts, one with several as a merged one."""
     n = F.coalesce(F.size("sources"), F.lit(0))
@@ -314,6 +327,11 @@ def plan_wording(spark, sf):
     return s.select("plan_id", "step", clean.alias("clean"), U.display_step(clean).alias("shown"), U.anchor_pronoun(F.col("text"), F.lit("Acme")).alias("anchored"), F.array_join(F.transform(U.dependencies(F.col("text")), lambda x: x.cast("string")), ",").alias("deps"))
 
 
+_DISPLAY = lambda x: f"regexp_replace({x}, '\\{{(\\d+)\\}}', 'the answer to step \\1', 'g')"
+PLAN_WORDING = f"""WITH {STEPS_SQL}, w AS (SELECT plan_id, step, text, unnest(list_concat([''], regexp_extract_all(text, '\\{{\\d+\\}}'))) AS mark, unnest(string_split_regex(text, '\\{{\\d+\\}}')) AS rest, unnest(range(len(string_split_regex(text, '\\{{\\d+\\}}')))) AS i FROM steps),
+c AS (SELECT plan_id, step, text, string_agg(CASE WHEN mark = '' THEN '' WHEN CAST(trim(mark, '{{}}') AS INT) = 0 OR CAST(trim(mark, '{{}}') AS INT) >= step THEN 'the previous result' ELSE mark END || rest, '' ORDER BY i) AS clean FROM w GROUP BY ALL)
+SELECT plan_id, step, clean, {_DISPLAY('clean')} AS shown, CASE WHEN regexp_matches(lower(text), '\\b(it|its|they|their|them)\\b') THEN text || ' (referring to: Acme)' ELSE text END AS anchored, array_to_string(list_transform(regexp_extract_all(text, '\\{{(\\d+)\\}}', 1), lambda x: CAST(CAST(x AS INT) AS VARCHAR)), ',') AS deps FROM c"""
+
 SUBS = (
     (1, 1, "a?", "one", "fast", 1, False, 0.9, "NONE", "NONE", 10, 100), (1, 2, "b?", "two", "strong", 3, True, 0.41239, "HALLUCINATION", "STRICT_PROMPT", 20, 200), (1, 3, "c?", "three", "fast", 2, True, 0.7, "FORMAT_ERROR", "REWRITE_QUERY", 5, 50),
     (2, 1, "x?", "only", "none", 1, False, 0.0, "UNKNOWN", "NONE", 7, 0),

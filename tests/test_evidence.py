@@ -11,16 +11,22 @@ def test_rows_of_detections(spark, sf):
 
 def test_citation_tags(spark, sf):
     got = {(r["id"], r["cited_file"], r["cited_page"]) for r in Q.citation_rows(spark, sf).collect()}
-    assert got == {(1, "plan.docx", 2), (1, "b.pdf", 10), (1, "c d.pdf", None)}
+    assert got == {(1, "plan.docx", 2), (1, "b.pdf", 10), (1, "c d.pdf", None), (4, "plan.docx", 1), (4, "b.pdf", 3), (5, "lone.md", None)}
     df = spark.createDataFrame([("It is so [Sou",), ("done [1]",), ("x [Source: a.pd",), ("y [other",)], "a string")
     assert [r[0] for r in df.select(E.drop_open_tag(F.col("a"))).collect()] == ["It is so", "done [1]", "x", "y [other"]
 
 
-def test_highlight_marks_runs_and_telling_words():
+def test_highlight_marks_runs_and_telling_words(spark):
     text = "The renewal date of the contract is 3 May 2026 at ICICI."
-    cut = [text[a:b] for a, b in E.marks(text, "It renews on 3 May 2026 with ICICI, the bank")]
-    assert cut == ["3 May 2026", "ICICI"]
-    assert E.marks("the of and", "the of and") == [] and E.marks("", "x") == []
+    rows = [(text, "It renews on 3 May 2026 with ICICI, the bank"), ("the of and", "the of and"), ("", "x"), (None, None), ("used documents", "documents used")]
+    got = [[t[s["start"] : s["end"]] for s in spans] for t, _, spans in E.highlight(spark.createDataFrame(rows, "t string, a string"), "t", "a").collect()]
+    assert got == [["3 May 2026", "ICICI"], [], [], [], ["used documents"]]
+
+
+def test_source_lines_are_folded(spark):
+    rows = [("Claim.\n- [Source: a.pdf]\n* [Source: b.pdf]\n\nNext",), ("Claim *Source:* a.pdf, Page 1 [Source: a.pdf | Page 1]",), ("[Source: a.pdf]\nx",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string").select(E.fold_source_lines(F.col("a"))).collect()]
+    assert got == ["Claim. [Source: a.pdf] [Source: b.pdf]\n\nNext", "Claim [Source: a.pdf | Page 1]", "[Source: a.pdf]\nx", None]
 
 
 def test_jobs_and_keys(spark, sf):
