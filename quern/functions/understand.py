@@ -130,3 +130,9 @@ def sanitise_step(step: Column, position: Column, most: int = 9) -> Column:
 
 def display_step(step: Column) -> Column:
     return F.regexp_replace(step, r"\{(\d+)\}", "the answer to step $1")
+
+
+def first_line(c: Column, other: Column, most: int = 200) -> Column:
+    """The first line that isn't blank, to `most` characters; `other` where there is none."""
+    line = strip(F.regexp_extract(F.coalesce(c, F.lit("")), r"([^\r\n]*[^\s][^\r\n]*)", 1))
+    return F.when(line == "", other).otherwise(F.substring(line, 1, most))

@@ -76,6 +76,12 @@ def select_context(ranked: DataFrame, limit: int = FINAL_K, per_document: int =
     return placed.filter((F.col("nth") <= per_document) | (F.col("place") <= limit)).drop("again", "nth")
 
 
+def expand_parents(rows: DataFrame, parents: DataFrame) -> DataFrame:
+    """rows with the text of their parent in place of their own, where parents (parent_id, parent_text) has one that isn't empty."""
+    full = parents.filter("parent_text <> ''").groupBy("parent_id").agg(F.min("parent_text").alias("parent_text"))
+    return rows.join(full, "parent_id", "left").withColumn("text", F.coalesce("parent_text", "text")).drop("parent_text")
+
+
 def with_citations(rows: DataFrame) -> DataFrame:
     """Text cut to 300 words under a header that names its source."""
     return rows.withColumn("text", F.concat(citation_header(F.col("filename"), F.col("page"), F.col("section")), F.lit("\n"), compress_words(F.col("text"))))

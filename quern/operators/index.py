@@ -35,6 +35,13 @@ def current_chunks(chunks: DataFrame) -> DataFrame:
     return flat.join(again, "chunk_id", "left_anti").unionByName(merge(flat.join(again, "chunk_id", "left_semi")))
 
 
+def parent_texts(chunks: DataFrame) -> DataFrame:
+    """(parent_id, parent_text): the parents that some chunk carries the text of."""
+    m = F.col("metadata")
+    rows = chunks.select(m["parent_id"].alias("parent_id"), m["parent_text"].alias("parent_text"))
+    return rows.filter("parent_id IS NOT NULL AND parent_text <> ''").groupBy("parent_id").agg(F.min("parent_text").alias("parent_text"))
+
+
 def sized(pool: DataFrame, id_: str = "chunk_id", text: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys..., id, toks, dl): tokens of each row and their number; rows without tokens count, with 0."""
     rows = pool.select(*keys, id_, tokens(F.col(text)).alias("toks"))

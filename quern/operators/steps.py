@@ -25,7 +25,7 @@ def blocked_steps(steps: DataFrame, answered: str = "answered") -> DataFrame:
 
 
 def back_references(steps: DataFrame) -> DataFrame:
-    """(plan_id, step, link): the latest earlier step whose words hold the noun of "that/this/... noun"; else the step
+    """(plan_id, step, link, by_noun): the latest earlier step whose words hold the noun of "that/this/... noun"; else the step
     before for a bare pronoun that opens a yes/no step. Steps with a placeholder, and first steps, have no link."""
     words = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(F.lower(c), F.lit("[a-z][a-z0-9-]*"), F.lit(0)), noun_key))
     noun = noun_key(F.regexp_extract(F.lower("text"), r"\b(?:that|this|those|these|the same)\s+([a-z][a-z0-9-]*)", 1))
@@ -34,8 +34,20 @@ def back_references(steps: DataFrame) -> DataFrame:
     found = free.join(earlier, "plan_id").filter((F.col("e") < F.col("step")) & (F.col("noun") != "") & F.array_contains("words", F.col("noun")))
     link = found.groupBy("plan_id", "step").agg(F.max("e").alias("link"))
     bare = F.lower("text").rlike(r"^\s*(?:is|was|are|were|does|did|will|can)\s+(?:that|this|it)\b")
-    out = free.join(link, ["plan_id", "step"], "left").withColumn("link", F.coalesce("link", F.when(bare, F.col("step") - 1)))
-    return out.filter("link IS NOT NULL").select("plan_id", "step", "link")
+    out = free.join(link, ["plan_id", "step"], "left").withColumn("by_noun", F.col("link").isNotNull()).withColumn("link", F.coalesce("link", F.when(bare, F.col("step") - 1)))
+    return out.filter("link IS NOT NULL").select("plan_id", "step", "link", "by_noun")
+
+
+def promote(steps: DataFrame, plan: str = "query_id") -> DataFrame:
+    """Steps whose back-references (see back_references) are placeholders: "When does that vendor's ..." -> "When does {1}'s ..."."""
+    named = steps.withColumnRenamed(plan, "plan_id")
+    link = back_references(named.select("plan_id", "step", "text"))
+    noun = F.regexp_extract(F.lower("text"), r"\b(?:that|this|those|these|the same)\s+([a-z][a-z0-9-]*)", 1)
+    mark = F.concat(F.lit("{"), F.col("link").cast("string"), F.lit("}"))
+    shown = F.regexp_replace(F.col("text"), F.concat(F.lit(r"(?i)\b(?:that|this|those|these|the same)\s+"), noun, F.lit(r"\b")), mark)
+    bare = F.regexp_replace(F.col("text"), F.lit(r"(?i)^(\s*(?:is|was|are|were|does|did|will|can)\s+)(?:that|this|it)\b"), F.concat(F.lit("$1"), mark))
+    text = F.when(F.col("link").isNull(), F.col("text")).when(F.col("by_noun"), shown).otherwise(bare)
+    return named.join(link, ["plan_id", "step"], "left").withColumn("text", text).drop("link", "by_noun").withColumnRenamed("plan_id", plan)
 
 
 def merge_answers(sub: DataFrame) -> DataFrame:

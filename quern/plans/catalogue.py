@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_evidence, queries_flow, queries_ops, queries_retrieval, queries_text, queries_verify
+from . import queries_evidence, queries_flow, queries_loop, queries_ops, queries_retrieval, queries_text, queries_verify
 
-MODULES = (queries_text, queries_retrieval, queries_verify, queries_ops, queries_evidence, queries_flow)
+MODULES = (queries_text, queries_retrieval, queries_verify, queries_ops, queries_evidence, queries_flow, queries_loop)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.chunking import chunk_pages, split_logs
-from ..plugins import Plugins, first_sentence
 from ..sources import formats
 from ..sources.io import table
 from ..streaming import streams as X
-from . import pipeline
-from .queries_retrieval import gold, pool, query_vectors, vectors
 
 
 def chunk_documents(spark, sf):
@@ -34,13 +31,6 @@ def html_to_text(spark, sf):
     return formats.html_text(spark.createDataFrame(PAGES, "page_id bigint, html string"), "page_id", "html")
 
 
-def answer_questions(spark, sf):
-    """The golden questions with their vectors through the whole loop, with the generator that needs no model."""
-    mine = query_vectors(spark, sf)
-    embed = lambda texts: mine.join(texts.select("query_id"), "query_id", "left_semi")
-    return pipeline.answer(gold(spark, sf).select("query_id", "query"), pool(spark, sf), vectors(table(spark, sf, "chunks")), Plugins(embed=embed, generate=first_sentence))
-
-
 def stream_counters(spark, sf):
     return X.latest(X.drain(X.counters(X.source(spark, sf, "events")), "complete"))
 
@@ -76,7 +66,7 @@ def stream_versions(spark, sf):
 
 
 def queries():
-    fs = (chunk_documents, log_entries, html_to_text, answer_questions, stream_counters, stream_rate_limit, stream_last_events, stream_distinct, stream_versions)
+    fs = (chunk_documents, log_entries, html_to_text, stream_counters, stream_rate_limit, stream_last_events, stream_distinct, stream_versions)
     return {f.__name__: f for f in fs}
 
 

@@ -311,7 +311,7 @@ SELECT s.plan_id, s.step, EXISTS (SELECT 1 FROM edges e JOIN bad b ON b.plan_id
 
 
 def plan_back_references(spark, sf):
-    return P.back_references(steps(spark))
+    return P.back_references(steps(spark)).drop("by_noun")
 
 
 _KEY = lambda w: f"(CASE WHEN {w} LIKE '%''s' AND length({w}) >= 5 THEN {w}[:-3] WHEN {w} LIKE '%es' AND length({w}) >= 5 THEN {w}[:-3] WHEN {w} LIKE '%s' AND length({w}) >= 4 THEN {w}[:-2] ELSE {w} END)"
