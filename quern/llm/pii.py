@@ -14,6 +14,8 @@ whole; an empty table gives an empty table; other columns are left out.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,19 +26,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .pii_table import KINDS, labelled_texts
+from .encode import vocabulary_path
+from .pii_table import FAMILY, FIRST, KINDS, labelled_texts
 
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 #: Distances of the tokens whose features count.
 REACH = (-3, -2, -1, 0, 1, 2, 3)
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 TABLE_TOKENS = 300_000
+#: Tokens decoded side by side, rows times length; bounds memory.
+CELLS = 1_000_000
+#: Texts of the table that must hold a feature.
+LEAST_TEXTS = 8
 _TOKEN = re.compile(r"\s*(?:[^\W_]+|[^\w\s]|_)")
 _NEG = np.float32(-1e4)
+_TITLES = frozenset("mr mrs ms miss dr prof herr herrn frau monsieur madame mme señor señora sr sra sir".split())
+_NAMES = frozenset(x.lower() for x in (*FIRST, *FAMILY))
+#: Every other name of the table is known as one; from the rest the model learns what names that no list has look like.
+_FIRST, _FAMILY = frozenset(x.lower() for x in FIRST[::2]), frozenset(x.lower() for x in FAMILY[::2])
 
 
-def attributes(token: str) -> list[str]:
-    """Features of a token with the white space before it."""
+@lru_cache(2)
+def common_words(path: str) -> frozenset[str]:
+    """Whole words of a public vocabulary, as it writes them; none where there is no such file."""
+    if not os.path.exists(path):
+        return frozenset()
+    with open(path, encoding="utf-8") as f:
+        return frozenset(t[1:] for t in json.load(f)["model"]["vocab"] if t[:1] == "Ġ" and t[1:].isalpha())
+
+
+def attributes(token: str, common: frozenset[str] = frozenset()) -> list[str]:
+    """Features of a token with the white space before it. common: words of a public vocabulary."""
     word = token.lstrip()
     gap = token[: len(token) - len(word)]
     gap = "g:" + ("" if not gap else "n" if "\n" in gap else "s")
@@ -46,13 +66,46 @@ def attributes(token: str) -> list[str]:
     if not word[0].isalnum():
         return [gap, f"w:{word}", "c:p"]
     shape = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", lambda m: "X" if len(m[0]) == 1 and m[0].isupper() else "XX" if m[0].isupper() else "Xx" if m[0][0].isupper() else "x", word))
-    return [gap, f"w:{low}", f"c:{shape}", f"e3:{low[-3:]}", f"e4:{low[-4:]}" if len(low) > 4 else f"l:{len(low)}", f"b2:{low[:2]}", f"cx:{shape}:{min(len(low), 5)}", f"ce:{shape}:{low[-2:]}"]
+    known = ["fn"] * (low in _FIRST) + ["ln"] * (low in _FAMILY) + ["title"] * (low in _TITLES)
+    if common and word.isalpha():
+        seen = "word" if low in common else "name" if low.capitalize() in common else "new"
+        known += [f"v:{seen}", f"vc:{seen}:{shape}"]
+    known += [] if low in _NAMES else [f"w:{low}"]
+    return [*known, gap, f"c:{shape}", f"e3:{low[-3:]}", f"e4:{low[-4:]}" if len(low) > 4 else f"l:{len(low)}", f"b2:{low[:2]}", f"cx:{shape}:{min(len(low), 5)}", f"ce:{shape}:{low[-2:]}"]
+
+
+_CLASSES = [
+    *(f"{shape}:{seen}" for shape in ("X", "Xx", "XX", "x") for seen in ("fn", "ln", "word", "name", "new")), "title", *(f"d{n}" for n in range(1, 7)), "mixed", *(f"p{c}" for c in ",.;:'’-()<>@=/|_+*#"), "p",
+]
+_CLASS_NO = {c: i for i, c in enumerate(_CLASSES)}
+#: Classes, each also behind a line end.
+PAIRS = 2 * len(_CLASSES)
+
+
+def token_class(token: str, common: frozenset[str]) -> int:
+    """A coarse class of a token; pairs of neighbouring classes are features."""
+    word = token.lstrip()
+    low = word.lower()
+    if low in _TITLES:
+        name = "title"
+    elif word.isdigit():
+        name = f"d{min(len(word), 6)}"
+    elif not word[0].isalnum():
+        name = f"p{word}" if f"p{word}" in _CLASS_NO else "p"
+    elif not word.isalpha():
+        name = "mixed"
+    else:
+        shape = "x" if word[0].islower() else "X" if len(word) == 1 else "XX" if word.isupper() else "Xx"
+        seen = "fn" if low in _FIRST else "ln" if low in _FAMILY else "word" if low in common else "name" if low.capitalize() in common else "new"
+        name = f"{shape}:{seen}"
+    return 2 * _CLASS_NO[name] + ("\n" in token[: len(token) - len(word)])
 
 
 class Model:
-    """Weights by (distance, feature, label), transitions between labels, and the decoder."""
+    """Weights by (distance, feature, label) and by (place, pair of classes, label), transitions between labels, and the decoder."""
 
-    def __init__(self, features: dict[str, int], weights: np.ndarray, transitions: np.ndarray, first: np.ndarray):
+    def __init__(self, features: dict[str, int], weights: np.ndarray, transitions: np.ndarray, first: np.ndarray, pairs: np.ndarray, vocabulary: str):
+        self.vocabulary, self.pairs = vocabulary, pairs.astype(np.float32)
         self.features, self.weights, self.transitions, self.first = features, weights.astype(np.float32), transitions.astype(np.float32), first.astype(np.float32)
         self._clear()
 
@@ -61,9 +114,10 @@ class Model:
         self.scores = np.zeros((1024, len(REACH), len(LABELS)), np.float32)
         self.sizes = np.zeros(1024, np.int64)
         self.gaps = np.zeros(1024, np.int64)
+        self.kinds = np.zeros(1024, np.int64)
 
     def __getstate__(self):
-        return (self.features, self.weights, self.transitions, self.first)
+        return (self.features, self.weights, self.transitions, self.first, self.pairs, self.vocabulary)
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -73,13 +127,15 @@ class Model:
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
             self.gaps = np.concatenate([self.gaps, np.zeros_like(self.gaps)])
-        get = self.features.get
+            self.kinds = np.concatenate([self.kinds, np.zeros_like(self.kinds)])
+        get, common = self.features.get, common_words(self.vocabulary)
         for t in tokens:
             i = len(self.number)
             self.number[t] = i
-            at = [f for a in attributes(t) if (f := get(a)) is not None]
+            at = [f for a in attributes(t, common) if (f := get(a)) is not None]
             if at:
                 self.scores[i] = self.weights[:, at].sum(1)
+            self.kinds[i] = token_class(t, common)
             self.sizes[i], self.gaps[i] = len(t), len(t) - len(t.lstrip())
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,17 +161,28 @@ class Model:
                 continue
             ok = (at + d >= starts) & (at + d < ends)
             out[ok] += self.scores[ids[at[ok] + d], k]
+        if len(ids) > 1:
+            kinds = self.kinds[ids]
+            both = at[1:] > starts[1:]  # a pair within one text
+            code = kinds[:-1][both] * PAIRS + kinds[1:][both]
+            left = np.nonzero(both)[0]
+            out[left] += self.pairs[0][code]
+            out[left + 1] += self.pairs[1][code]
         return out
 
-    def decode(self, emit: np.ndarray, lengths: np.ndarray, block: int = 600) -> np.ndarray:
-        """Most likely labels by Viterbi, over blocks of texts of like length."""
+    def decode(self, emit: np.ndarray, lengths: np.ndarray, cells: int = CELLS) -> np.ndarray:
+        """Most likely labels by Viterbi, over blocks of texts of like length and of bounded size (one longer text is a block)."""
         out = np.zeros(len(emit), np.int8)
         starts = np.cumsum(lengths) - lengths
         order = np.argsort(lengths, kind="stable")
         order = order[lengths[order] > 0]
         n = len(LABELS)
-        for a in range(0, len(order), block):
-            part = order[a : a + block][::-1]  # longest first, so rows drop out at the end
+        a = 0
+        while a < len(order):
+            b = a + 1
+            while b < len(order) and b - a < 600 and (b - a + 1) * lengths[order[b]] <= cells:
+                b += 1
+            part = order[a:b][::-1]  # longest first, so rows drop out at the end
             size, start = lengths[part], starts[part]
             longest = int(size[0])
             back = np.zeros((longest, len(part), n), np.int8)
@@ -134,6 +201,7 @@ class Model:
                 out[start[:live] + t] = label[:live]
                 if t:
                     label[:live] = back[t, np.arange(live), label[:live]]
+            a = b
         return out
 
     def items(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -216,9 +284,15 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train(seed: int = 11, epochs: int = 7, rate: float = 0.35, decay: float = 1e-6, batch: int = 48) -> Model:
+def train(vocabulary: str, seed: int = 11, epochs: int = 5, rate: float = 0.35, decay: float = 3e-4, batch: int = 48) -> Model:
     """Maximum likelihood by AdaGrad; expectations by forward-backward over padded batches."""
     xs, ys = _training(seed)
+    common = common_words(vocabulary)
+    # Features of few tokens are left out, so a made-up word is as new in training as any new word is later.
+    often: dict[str, int] = {}
+    for x in xs:
+        for f in {f for t in x for f in attributes(t, common)}:
+            often[f] = often.get(f, 0) + 1
     kinds: dict[str, int] = {}
     token_no: dict[str, int] = {}
     token_features: list[list[int]] = []
@@ -226,15 +300,23 @@ def train(seed: int = 11, epochs: int = 7, rate: float = 0.35, decay: float = 1e
         for t in x:
             if t not in token_no:
                 token_no[t] = len(token_no)
-                token_features.append([kinds.setdefault(a, len(kinds)) for a in attributes(t)])
+                token_features.append([kinds.setdefault(a, len(kinds)) for a in attributes(t, common) if often[a] >= LEAST_TEXTS])
     width = max(map(len, token_features))
     pad = len(kinds)
     table = np.full((len(token_features) + 1, width), pad, np.int64)
     for i, f in enumerate(token_features):
         table[i, : len(f)] = f
+    # What a word is counts beside an item only, what it ends in counts within it; farther off its shape is all that counts.
+    near = {"w:": 1, "e3": 0, "e4": 0, "b2": 0, "ce": 0}
+    reach = np.array([9 if a[2:3] and not a[2].isalnum() else near.get(a[:2], 9) for a in kinds] + [9])
+    allowed = (np.abs(np.array(REACH))[:, None] <= reach[None, :]).ravel()[:, None]
     none = len(token_features)  # the token beyond the ends of a text
     n, d = len(LABELS), len(REACH)
-    w = np.zeros((d * (pad + 1), n))
+    classes = np.array([*(token_class(t, common) for t in token_no), 0])
+    base, none_pair = d * (pad + 1), 2 * PAIRS * PAIRS
+    allowed = np.concatenate([allowed, np.ones((none_pair + 1, 1), bool)])
+    allowed[base + none_pair] = False
+    w = np.zeros((base + none_pair + 1, n))
     trans, first = np.zeros((n, n)), np.zeros(n)
     gw, gt, gf = np.full_like(w, 1e-3), np.full_like(trans, 1e-3), np.full_like(first, 1e-3)
     rng = np.random.default_rng(seed)
@@ -251,7 +333,12 @@ def train(seed: int = 11, epochs: int = 7, rate: float = 0.35, decay: float = 1e
                 gold[r, : len(xs[i])] = ys[i]
             mask = np.arange(longest)[None, :] < size[:, None]
             feats = np.concatenate([table[ids[:, 3 + o : 3 + o + longest]] + k * (pad + 1) for k, o in enumerate(REACH)], 2)
-            f = feats[mask]
+            c = classes[ids]
+            inner = ids != none
+            code = np.where(inner[:, :-1] & inner[:, 1:], c[:, :-1] * PAIRS + c[:, 1:], -1)
+            right, left = code[:, 3 : 3 + longest], code[:, 2 : 2 + longest]
+            pairs = np.stack([np.where(right < 0, none_pair, right), np.where(left < 0, none_pair, PAIRS * PAIRS + left)], 2) + base
+            f = np.concatenate([feats, pairs], 2)[mask]
             emit = np.zeros((rows, longest, n))
             emit[mask] = w[f].sum(1)
             alpha = np.zeros((rows, longest, n))
@@ -276,7 +363,7 @@ def train(seed: int = 11, epochs: int = 7, rate: float = 0.35, decay: float = 1e
             flat = inverse.reshape(f.shape)
             grad = np.stack([np.bincount(flat.ravel(), np.repeat(g[:, j], f.shape[1]), len(used)) for j in range(n)], 1) / rows + decay * w[used]
             gw[used] += grad * grad
-            w[used] -= rate * grad / np.sqrt(gw[used])
+            w[used] -= allowed[used] * rate * grad / np.sqrt(gw[used])
             w[np.arange(d) * (pad + 1) + pad] = 0
             pair, grad_first = pair / rows, grad_first / rows
             gt += pair * pair
@@ -291,12 +378,16 @@ def train(seed: int = 11, epochs: int = 7, rate: float = 0.35, decay: float = 1e
                 if before[2:] != kind:
                     trans[i, j] = _NEG
             first[j] = _NEG
-    return Model(kinds, w.reshape(d, pad + 1, n)[:, :pad], trans, first)
+    return Model(kinds, w[:base].reshape(d, pad + 1, n)[:, :pad], trans, first, w[base : base + none_pair].reshape(2, -1, n), vocabulary)
 
 
 @lru_cache(2)
+def _trained(vocabulary: str, seed: int) -> Model:
+    return train(vocabulary, seed)
+
+
 def default_model(seed: int = 11) -> Model:
-    return train(seed)
+    return _trained(vocabulary_path(), seed)
 
 
 def redact(text: str, items: list[tuple[int, int, str]]) -> str:
