@@ -76,8 +76,12 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return pages.filter("is_spam").select("doc_id").distinct()
 
 
+def p8_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    return spam.shape_groups(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_repaired, p4_found, p4_neighbours, p5_found, p5_redacted, p6_ids, p7_mixture, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_repaired, p4_found, p4_neighbours, p5_found, p5_redacted, p6_ids, p7_mixture, p7_shares, p8_found, p8_shapes)}
 
 
 P1_FOUND = r"""
