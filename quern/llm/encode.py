@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import materialise, spread
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the published pre-token pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words a worker keeps before it starts its table anew; only speed depends on it.
-TABLE_WORDS = 400_000
+#: Words, and characters of words, a worker keeps before it starts its table anew; only speed depends on them.
+TABLE_WORDS, TABLE_CHARS = 400_000, 20_000_000
 
 _VOCABULARIES: dict[str, "Vocabulary"] = {}
 
@@ -132,12 +132,14 @@ class Encoder:
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.chars = 0
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
     def _learn(self, words: list[str]) -> None:
         ids = replay(words, self.vocabulary)
+        self.chars += sum(map(len, words))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         at = len(self.flat) + np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(ids) else lengths
         base = len(self.starts)
@@ -148,7 +150,7 @@ class Encoder:
 
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words of the texts, and how many words each text has."""
-        if len(self.number) > self.table_words:
+        if len(self.number) > self.table_words or self.chars > TABLE_CHARS:
             self._clear()
         split = [self.split(t) if t else [] for t in texts]
         per_text = np.fromiter(map(len, split), np.int64, len(split))
@@ -189,6 +191,40 @@ def _slices(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[tuple[pa.
         yield keys.slice(a), texts[a:]
 
 
+def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """encode_texts with one replay for the words of the whole corpus; keys must be unique.
+
+    Distinct words are gathered from all texts and hashed to tasks, each of which replays its words together; their ids are
+    joined to the places where the words stand. This shuffles every text's words, which encode_texts doesn't.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        split = regex.compile(PATTERN).findall
+        for batch in batches:
+            row, words, at = [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                where: dict[str, list[int]] = {}
+                for n, w in enumerate(split(t) if t else ()):
+                    where.setdefault(w, []).append(n)
+                row += [i] * len(where)
+                words += where.keys()
+                at += where.values()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(words, pa.string()), pa.array(at, pa.list_(pa.int32()))], names=["key", "word", "places"])
+
+    def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replay(words, Vocabulary.at(vocabulary)), pa.list_(pa.int32()))], names=["word", "ids"])
+
+    found = materialise(spread(rows).mapInArrow(places, f"key {kind}, word string, places array<int>"))
+    ids = found.select("word").distinct().mapInArrow(replayed, "word string, ids array<int>")
+    parts = found.join(ids, "word").select("key", F.explode("places").alias("place"), "ids").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("parts"))
+    whole = F.flatten(F.transform("parts", lambda p: p["ids"]))
+    return rows.select("key").join(parts, "key", "left").select(F.col("key").alias(key), F.coalesce(whole, F.array().cast("array<int>")).alias("ids"))
 
 
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

@@ -1,8 +1,10 @@
 """The k most similar vectors of every vector, by robust-pruned directed graphs over shards.
 
 Equal directions form one class, so copies cost one point however many there are. A bounded sample of
-classes gives centroids by repeated k-means; leaves that equal vectors keep from being split get several
-hashed shards. Every class is a member of the shard of its nearest centroid and a query of up to
+classes gives centroids by repeated k-means. Where that sample is too small for shards of the wanted size,
+it gives cells only, and the centroids of the shards within a cell are learned in a task of its own from a
+sample in proportion to the cell; routing then goes by cells first. Leaves that equal vectors keep from
+being split get several hashed shards. Every class is a member of the shard of its nearest centroid and a query of up to
 `PROBES` near ones, those whose border with its own is near. A task builds the graph of its shard (see graph.py), answers its members from
 their own edges and the visiting queries from pivots by beam search. The lists of a class are merged
 by similarity, and classes are turned back into keys: equal vectors have similarity 1, ties go to the
@@ -34,8 +36,14 @@ from .graph import Graph
 K, DIMENSIONS = 10, 64
 #: Bound of the sample of classes from which centroids are learned; every vector is indexed.
 SAMPLE = 40_000
-#: Members a shard should have, the most shards there are, and how many shards answer a query.
-SHARD, SHARDS_MOST, PROBES = 6_000, 16_384, 4
+#: Members a shard should have, and how many shards answer a query.
+SHARD, PROBES = 6_000, 4
+#: Cells the first sample is split into at most, and how many of them are looked into for a vector's shards.
+CELLS, CELL_PROBES = 1_000, 6
+#: Most shards (their centroids, 256 bytes each, go to every task): 1.2 billion vectors at the wanted size, larger shards beyond.
+SHARDS_MOST = 200_000
+#: Sampled members of a shard from which centroids within cells are learned.
+SHARD_SAMPLE = 64
 #: A further shard is asked if its border is nearer than this part of the distance to the own centroid.
 MARGIN = 0.5
 BEAM = 44
@@ -91,7 +99,6 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 def learn_shards(sample: np.ndarray, total: int, shard: int = SHARD, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(centroids, number of hashed shards of each) such that a shard is expected to hold about `shard` of all."""
     rng = np.random.default_rng(seed)
-    shard = max(shard, -(-total // SHARDS_MOST))
     scale = total / max(1, len(sample))
     leaves: list[tuple[np.ndarray, int]] = []
     todo = [np.arange(len(sample))] if len(sample) else []
@@ -112,26 +119,91 @@ def learn_shards(sample: np.ndarray, total: int, shard: int = SHARD, seed: int =
     return np.stack([c for c, _ in leaves]).astype(np.float32), np.array([s for _, s in leaves])
 
 
-def _route(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, slices: np.ndarray, probes: int, margin: float) -> Iterator[pa.RecordBatch]:
-    first = np.cumsum(slices) - slices
-    half = 0.5 * (centroids * centroids).sum(1)
+class Shards:
+    """Centroids of shards, and the cells they lie in; slices: hashed shards of a centroid."""
+
+    def __init__(self, centroids: np.ndarray, slices: np.ndarray, cells: np.ndarray | None = None, cell: np.ndarray | None = None):
+        if cell is not None:
+            order = np.argsort(cell, kind="stable")
+            centroids, slices, cell = centroids[order], slices[order], cell[order]
+            self.begin, self.end = (np.searchsorted(cell, np.arange(len(cells)), side) for side in ("left", "right"))
+        self.centroids, self.slices, self.cells = centroids, slices, cells
+        self.first = np.cumsum(slices) - slices
+        self.half = 0.5 * (centroids * centroids).sum(1)
+
+    def nearest(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, scores) of the best `probes` of each row, best first; -1 where there are fewer."""
+        if self.cells is None:
+            score = x @ self.centroids.T - self.half
+            p = min(probes, len(self.centroids))
+            near = np.argpartition(-score, p - 1, axis=1)[:, :p]
+            best = np.take_along_axis(score, near, 1)
+        else:
+            score = x @ self.cells.T - 0.5 * (self.cells * self.cells).sum(1)
+            t = min(CELL_PROBES, len(self.cells))
+            cells = np.argpartition(-score, t - 1, axis=1)[:, :t]
+            near, best = np.full((len(x), t * probes), -1, np.int64), np.full((len(x), t * probes), -np.inf, np.float32)
+            row, place = np.divmod(np.argsort(cells, axis=None, kind="stable"), t)
+            which, start = np.unique(cells[row, place], return_index=True)
+            for c, a, b in zip(which.tolist(), start.tolist(), [*start[1:].tolist(), len(row)]):
+                own = slice(int(self.begin[c]), int(self.end[c]))
+                p = min(probes, own.stop - own.start)
+                if p:
+                    r = row[a:b]
+                    s = x[r] @ self.centroids[own].T - self.half[own]
+                    top = np.argpartition(-s, p - 1, axis=1)[:, :p]
+                    at = place[a:b, None] * probes + np.arange(p)
+                    near[r[:, None], at], best[r[:, None], at] = top + own.start, np.take_along_axis(s, top, 1)
+        order = np.argsort(-best, axis=1, kind="stable")[:, :probes]
+        return np.take_along_axis(near, order, 1), np.take_along_axis(best, order, 1)
+
+
+def find_shards(units: DataFrame, sample: np.ndarray, total: int, shard: int = SHARD, cells: int = CELLS) -> Shards:
+    """Shards of about `shard` members each, learned in one level where the sample allows it, else in two."""
+    shard = max(shard, -(-total // SHARDS_MOST))
+    if total <= cells * shard or not len(sample):
+        return Shards(*learn_shards(sample, total, shard))
+    tops, _ = learn_shards(sample, total, -(-total // cells))
+    top = Shards(tops, np.ones(len(tops), np.int64))
+    every = max(1, shard // SHARD_SAMPLE)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(top.nearest(x, 1)[0][:, 0], pa.int64()), batch.column(0)], names=["cell", "vec"])
+
+    def within(group: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.float32).reshape(group.num_rows, -1)
+        x = x[np.lexsort(x.T)]  # the result doesn't depend on the order of arrival
+        c, slices = learn_shards(x, len(x) * every, shard)
+        return pa.table({"cell": pa.array([group.column("cell")[0].as_py()] * len(c), pa.int64()), "centroid": pa.array([v.tobytes() for v in c], pa.binary()), "slices": pa.array(slices, pa.int64())})
+
+    picked = units.filter(F.pmod(F.xxhash64("class", F.lit(1)), F.lit(every)) == 0).dropDuplicates(["class"]).select("vec")
+    found = picked.mapInArrow(assign, "cell bigint, vec binary").groupBy("cell").applyInArrow(within, "cell bigint, centroid binary, slices bigint").toArrow()
+    cell = np.asarray(found.column("cell").combine_chunks(), np.int64)
+    centroids = np.frombuffer(b"".join(found.column("centroid").to_pylist()), np.float32).reshape(len(cell), -1)
+    slices = np.asarray(found.column("slices").combine_chunks(), np.int64)
+    empty = np.setdiff1d(np.arange(len(tops)), cell)  # a cell without a sampled member is a shard of its own
+    return Shards(np.concatenate([centroids, tops[empty]]), np.concatenate([slices, np.ones(len(empty), np.int64)]), tops, np.concatenate([cell, empty]))
+
+
+def _route(batches: Iterator[pa.RecordBatch], shards: Shards, probes: int, margin: float) -> Iterator[pa.RecordBatch]:
+    first, slices, centroids = shards.first, shards.slices, shards.centroids
     for batch in batches:
         if not batch.num_rows:
             continue
         ids = np.asarray(batch.column(0))
         x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(batch.num_rows, -1)
-        score = x @ centroids.T - half
-        p = min(probes, len(centroids))
-        near = np.argpartition(-score, p - 1, axis=1)[:, :p]
-        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1), 1)
-        best = np.take_along_axis(score, near, 1)
+        near, best = shards.nearest(x, probes)
         own = centroids[near[:, 0]]
         reach = margin * np.sqrt(np.maximum(1 - 2 * best[:, 0], 0))  # |x - c|, as x has length 1
         home = first[near[:, 0]] + (ids.view(np.uint64) % slices[near[:, 0]].astype(np.uint64)).astype(np.int64)
         rows, shard, member = [np.arange(len(ids))], [home], [np.ones(len(ids), bool)]
-        for c in range(p):
+        for c in range(near.shape[1]):
             between = np.sqrt(((centroids[near[:, c]] - own) ** 2).sum(1))
-            n = np.where((best[:, 0] - best[:, c]) <= reach * between, slices[near[:, c]], 0)
+            near_by = (near[:, c] >= 0) & ((best[:, 0] - best[:, c]) <= reach * between)
+            n = np.where(near_by, slices[near[:, c]], 0)
             row = np.repeat(np.arange(len(ids)), n)
             s = np.repeat(first[near[:, c]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             away = s != home[row]  # in its own shard a member is asked as a member
@@ -166,7 +238,7 @@ def _answer(group: pa.Table, k: int, beam: int) -> pa.Table:
 _NEAR = "array<struct<away: double, id: bigint>>"
 
 
-def class_neighbours(units: DataFrame, total: int, k: int = K, shard: int = SHARD, probes: int = PROBES, margin: float = MARGIN, beam: int = BEAM) -> DataFrame:
+def class_neighbours(units: DataFrame, total: int, k: int = K, shard: int = SHARD, probes: int = PROBES, margin: float = MARGIN, beam: int = BEAM, cells: int = CELLS) -> DataFrame:
     """(class, near): the k nearest other classes of each class of units (class, vec); total: number of classes."""
     every = max(1, total // SAMPLE)
     # A sample by hash: the same classes whatever the partitions.
@@ -174,8 +246,8 @@ def class_neighbours(units: DataFrame, total: int, k: int = K, shard: int = SHAR
     raw = b"".join(picked.column("vec").to_pylist())
     sample = np.frombuffer(raw, np.float32).reshape(picked.num_rows, -1) if picked.num_rows else np.zeros((0, 1), np.float32)
     classes = units.groupBy("class").agg(F.any_value("vec").alias("vec"))
-    centroids, slices = learn_shards(sample, total, shard)
-    routed = classes.select("class", "vec").mapInArrow(lambda it: _route(it, centroids, slices, probes, margin), "shard int, member boolean, class bigint, vec binary")
+    shards = find_shards(units, sample, total, shard, cells)
+    routed = classes.select("class", "vec").mapInArrow(lambda it: _route(it, shards, probes, margin), "shard int, member boolean, class bigint, vec binary")
     lists = routed.groupBy("shard").applyInArrow(lambda g: _answer(g, k, beam), f"class bigint, near {_NEAR}")
     return lists.groupBy("class").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 

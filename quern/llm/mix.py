@@ -7,10 +7,10 @@ the source fill it as far as they go; for the rest, documents are counted by exa
 bounded knapsack over (length, count) finds the lengths to take whose sum comes nearest the budget. Of
 each length the needed number of documents is drawn by a seeded hash.
 
-Budgets are fitted on counts by length (bounded by the longest text, not by the corpus): the
-counts are a small table, at most `LENGTHS` different ones a source, beyond which lengths are grouped to
-a common step; documents themselves never leave the executors. The knapsack runs over the last stretch of
-the budget only, after a greedy fill by whole length groups, so it is bounded too.
+Budgets are fitted on counts by exact length, however many there are: a source of T tokens has fewer than
+sqrt(2 T) different lengths, so the counts are a small table; documents themselves never leave the
+executors. The knapsack runs over the last stretch of the budget only, after a fill in proportion and by
+whole length groups, so it is bounded too.
 
 Defined cases: names of sources are compared without case, surrounding blanks, and with "_" as "-"; a
 listed source without (non-empty) documents gets nothing, which its row says, and the shares of the
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .encode import count_tokens
 
-#: The knapsack's bound: tokens of the last stretch of a budget, and different lengths a source may have.
-STRETCH, LENGTHS = 60_000, 20_000
+#: The knapsack's bound: tokens of the last stretch of a budget.
+STRETCH = 60_000
+#: Slices by hash of the documents of one length.
+SLICES = 256
 
 
 def norm_source(c):
@@ -128,27 +130,26 @@ def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str, key: str
     rows = documents.select(F.col(key).alias("key"), norm_source(F.col(source)).alias("source"), F.col(text).alias("text"))
     rows = rows.filter(F.col("source").isin(names) & (F.length("text") > 0))
     sized = materialise(count_tokens(rows, "key", "text", vocabulary, ("source",)).filter("n_tokens > 0"))
-    lengths = sized.groupBy("source").agg(F.countDistinct("n_tokens").alias("k"))
-    wide = {r["source"]: -(-r["k"] // LENGTHS) for r in lengths.collect() if r["k"] > LENGTHS}
-    step = F.coalesce(*(F.when(F.col("source") == s, F.lit(w)) for s, w in wide.items()), F.lit(1)) if wide else F.lit(1)
-    # Where a source has too many different lengths they are rounded up to a step; budgets are then kept to the step.
-    sized = sized.withColumn("length", F.ceil(F.col("n_tokens") / step) * step)
-    stats = sized.groupBy("source", F.col("length").alias("n_tokens")).agg(F.count("*").alias("n"))
-    plans, _ = plan_mixture([r.asDict() for r in stats.collect()], goal, total_tokens)
+    stats = sized.groupBy("source", "n_tokens").agg(F.count("*").alias("n")).toArrow().to_pylist()
+    plans, _ = plan_mixture(stats, goal, total_tokens)
     passes = [(p["source"], p["passes"]) for p in plans]
     takes = [(p["source"], int(a), int(n)) for p in plans for a, n in zip(p["lengths"], p["take"]) if n]
     whole = spark.createDataFrame(passes, "source string, passes int")
-    drawn = spark.createDataFrame(takes, "source string, length bigint, take bigint")
-    # Of each length the documents least by a seeded hash; a rank within (source, length, slice) would not be exact,
-    # so the threshold is found on counts: hash slices are counted, and only the one slice on the border is ranked.
-    hashed = sized.withColumn("draw", F.xxhash64(F.lit(seed), "key")).withColumn("slice", F.pmod(F.shiftright("draw", 20), F.lit(256)).cast("int"))
-    by_slice = hashed.groupBy("source", "length", "slice").agg(F.count("*").alias("n"))
-    upto = by_slice.withColumn("before", F.sum("n").over(Window.partitionBy("source", "length").orderBy("slice")) - F.col("n"))
-    upto = upto.join(F.broadcast(drawn), ["source", "length"]).select("source", "length", "slice", "before", "take")
-    rank = F.row_number().over(Window.partitionBy("source", "length", "slice").orderBy("draw", "key"))
-    joined = hashed.withColumn("rank", rank).join(upto, ["source", "length", "slice"], "left").join(F.broadcast(whole), "source", "left")
-    extra = F.when(F.col("before") + F.col("rank") <= F.col("take"), 1).otherwise(0)
-    used = joined.select(F.col("key").alias(key), "source", "n_tokens", (F.coalesce("passes", F.lit(0)) + extra).cast("int").alias("repeats")).filter("repeats > 0")
+    drawn = spark.createDataFrame(takes, "source string, n_tokens bigint, take bigint")
+    # Of each length the documents least by a seeded hash. Hash slices are counted; those before the border are taken
+    # whole, and only rows of the slice on the border are ranked.
+    hashed = sized.withColumn("draw", F.xxhash64(F.lit(seed), "key")).withColumn("slice", F.pmod(F.shiftright("draw", 20), F.lit(SLICES)).cast("int"))
+    same = ["source", "n_tokens", "slice"]
+    by_slice = hashed.groupBy(*same).agg(F.count("*").alias("n")).join(drawn, ["source", "n_tokens"])
+    upto = by_slice.withColumn("before", F.sum("n").over(Window.partitionBy("source", "n_tokens").orderBy("slice")) - F.col("n"))
+    upto = upto.filter(F.col("before") < F.col("take")).withColumn("border", F.col("before") + F.col("n") > F.col("take")).drop("n")
+    rows = hashed.join(upto, same, "left")
+    border = F.coalesce("border", F.lit(False))
+    ranked = rows.filter(border).withColumn("rank", F.row_number().over(Window.partitionBy(*same).orderBy("draw", "key")))
+    extra = rows.filter(~border).withColumn("extra", F.col("take").isNotNull()).select("key", "source", "n_tokens", "extra")
+    extra = extra.unionByName(ranked.select("key", "source", "n_tokens", (F.col("before") + F.col("rank") <= F.col("take")).alias("extra")))
+    joined = extra.join(F.broadcast(whole), "source", "left")  # one row a source
+    used = joined.select(F.col("key").alias(key), "source", "n_tokens", (F.coalesce("passes", F.lit(0)) + F.col("extra").cast("int")).cast("int").alias("repeats")).filter("repeats > 0")
     sums = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
     goals = spark.createDataFrame([(p["source"], float(p["target_share"]), p["max_repeats"]) for p in plans], "source string, target_share double, max_repeats int")
     report = goals.join(sums, "source", "left")

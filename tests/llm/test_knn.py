@@ -45,6 +45,33 @@ def test_operator_recall_against_brute_force(spark):
     assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in ids]) >= 0.9
 
 
+def test_two_levels_of_shards(spark):
+    """More shards than the first sample can give: centroids within cells; recall and members a shard stay."""
+    x = clustered(2500, 4)
+    ids = [f"c{i:05d}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "chunk_id string, embedding array<double>")
+    got = {}
+    for r in knn.neighbours(df, shard=120, cells=5).collect():
+        got.setdefault(r["chunk_id"], []).append(r["neighbour"])
+    want = truth(x, ids, 10)
+    assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in ids]) >= 0.9
+    # A cell of a billion vectors in a thousand cells, from its sample: shards of the wanted size, none hashed.
+    part = clustered(10_000, 6).astype(np.float32)
+    part /= np.linalg.norm(part, axis=1, keepdims=True)
+    every = knn.SHARD // knn.SHARD_SAMPLE
+    c, slices = knn.learn_shards(part, len(part) * every, knn.SHARD)
+    assert (slices == 1).mean() > 0.97 and 0.5 < len(c) * knn.SHARD / (len(part) * every) < 2 and knn.CELLS * len(c) < 2 * knn.SHARDS_MOST
+    assert -(-1_000_000_000 // knn.SHARDS_MOST) <= knn.SHARD
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    top, _ = knn.learn_shards(u, 2500, 500)
+    cell = np.argmax(u @ top.T - 0.5 * (top * top).sum(1), axis=1)
+    flat = knn.Shards(u[:300], np.ones(300, int))
+    nested = knn.Shards(u[:300], np.ones(300, int), top, cell[:300])
+    a, b = flat.nearest(u, 1)[0][:, 0], nested.nearest(u, 1)[0][:, 0]
+    same = [np.array_equal(flat.centroids[i], nested.centroids[j]) for i, j in zip(a, b)]
+    assert np.mean(same) > 0.9
+
+
 def test_operator_on_odd_rows(spark):
     r = np.random.default_rng(5)
     x = r.normal(size=(30, 64))

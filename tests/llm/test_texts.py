@@ -32,6 +32,25 @@ def test_encoding_operator(spark):
     assert sorted(r["n_tokens"] for r in encode.count_tokens(df, carry=("ids",)).collect()) == [0, 0, 2, 2]
 
 
+@needs_vocabulary
+def test_corpus_replay_gives_the_same_ids(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "low lower lowest low"), (4, "lower " * 50 + "naïve 😀 x\n\n y")], "doc_id bigint, text string")
+    want = {r["doc_id"]: r["ids"] for r in encode.encode_texts(df).collect()}
+    assert {r["doc_id"]: r["ids"] for r in encode.encode_corpus(df.repartition(3)).collect()} == want
+    assert encode.encode_corpus(df.limit(0)).count() == 0
+
+
+def test_budgets_by_exact_lengths_however_many():
+    import numpy as np
+
+    lengths = np.arange(1, 50_001)
+    stats = [{"source": s, "n_tokens": int(n), "n": 1} for s in ("a", "b") for n in lengths]
+    plans, total = mix.plan_mixture(stats, [{"source": "a", "weight": 1.0, "repeats": 1}, {"source": "b", "weight": 3.0, "repeats": 1}])
+    for p in plans:
+        assert int((p["lengths"] * p["take"]).sum()) + p["passes"] * p["available"] == p["budget"]
+    assert abs(plans[0]["budget"] / total - 0.25) < 1e-6
+
+
 def test_knapsack_meets_the_budget_where_a_sum_does():
     import numpy as np
 
