@@ -112,7 +112,7 @@ SELECT chunk_a, chunk_b FROM j WHERE i >= 0.8 * (m - i)"""
 P2_GROUPS = (
     P2_FOUND.replace("WITH w AS", "WITH RECURSIVE w AS", 1).replace(")\nSELECT chunk_a, chunk_b FROM j WHERE i >= 0.8 * (m - i)", "),\n")
     + """p AS (SELECT chunk_a AS a, chunk_b AS b FROM j WHERE i >= 0.8 * (m - i)), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
-r AS (SELECT chunk_id AS a, chunk_id AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), g AS (SELECT a, min(b) AS name FROM r GROUP BY 1),
+reach AS (SELECT chunk_id AS a, chunk_id AS b FROM s UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b), g AS (SELECT a, min(b) AS name FROM reach GROUP BY 1),
 n AS (SELECT e.a, count(DISTINCT list_sort(y.ws)) AS k FROM e JOIN s x ON x.chunk_id = e.a JOIN s y ON y.chunk_id = e.b WHERE list_sort(x.ws) <> list_sort(y.ws) GROUP BY 1)
 SELECT chunk_id, name AS "group", coalesce(k, 0) AS n_links FROM s JOIN g ON g.a = chunk_id LEFT JOIN n ON n.a = chunk_id"""
 )
