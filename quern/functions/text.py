@@ -22,9 +22,9 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
 
 
-def clean_text(c: Column) -> Column:
-    """Bound, drop NUL, one blank for runs of blanks, at most one empty line, no edges."""
-    c = F.replace(F.substring(c, 1, MAX_INGEST_CHARS), F.lit("\0"), F.lit(""))
+def clean_text(c: Column, most: int | None = MAX_INGEST_CHARS) -> Column:
+    """Bound (None: no bound), drop NUL, one blank for runs of blanks, at most one empty line, no edges."""
+    c = F.replace(c if most is None else F.substring(c, 1, most), F.lit("\0"), F.lit(""))
     return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
@@ -85,28 +85,36 @@ def paragraphs(c: Column) -> Column:
         return (
             F.when(F.char_length(b) <= PARAGRAPH_CHARS, F.array(b))
             .when(F.size(ls) > 1, ls)
-            .when(F.size(sentences(one)) > 1, sentences(one))
-            .otherwise(_slices(one))
+            .otherwise(bound(one, lambda x: bound(sentences(x), lambda ss: F.when(F.size(ss) > 1, ss).otherwise(_slices(x)))))
         )
 
     return F.flatten(F.transform(blocks, units))
 
 
+def bound(c: Column, use) -> Column:
+    """use(c), with c evaluated once however often it is used."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def pack(units: Column, limit: int, joiner: str) -> Column:
-    """Units joined greedily into groups of at most `limit` estimated tokens; a larger unit is a group alone."""
-    zero = F.struct(F.array().cast("array<string>").alias("groups"), F.lit("").alias("now"), F.lit(0).alias("size"), F.lit(False).alias("open"))
+    """Units joined greedily into groups of at most `limit` estimated tokens; a larger unit is a group alone.
+
+    The fold carries sizes and the numbers of units that begin a group, never text; each group is joined once.
+    """
+    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("size"), F.lit(0).alias("i"))
 
     def add(s: Column, u: Column) -> Column:
         n = F.floor(F.char_length(u) / 4).cast("int")
-        full = s["open"] & (s["size"] + n > limit)
-        return F.struct(
-            F.when(full, F.concat(s["groups"], F.array(s["now"]))).otherwise(s["groups"]).alias("groups"),
-            F.when(full | ~s["open"], u).otherwise(F.concat(s["now"], F.lit(joiner), u)).alias("now"),
-            F.when(full, n).otherwise(s["size"] + n).alias("size"),
-            F.lit(True).alias("open"),
-        )
+        full = (s["i"] > 0) & (s["size"] + n > limit)
+        new = full | (s["i"] == 0)
+        return F.struct(F.when(new, F.concat(s["starts"], F.array(s["i"]))).otherwise(s["starts"]).alias("starts"), F.when(full, n).otherwise(s["size"] + n).alias("size"), (s["i"] + 1).alias("i"))
+
+    def groups(us: Column) -> Column:
+        starts = F.aggregate(us, zero, add, lambda s: s["starts"])
+        cut = lambda ss: F.transform(ss, lambda a, k: F.array_join(F.slice(us, a + 1, F.coalesce(F.get(ss, k + 1), F.size(us)) - a), joiner))
+        return bound(starts, cut)
 
-    return F.aggregate(units, zero, add, lambda s: F.when(s["open"], F.concat(s["groups"], F.array(s["now"]))).otherwise(s["groups"]))
+    return bound(units, groups)
 
 
 #: Look-alike characters of generated text and what they stand for.

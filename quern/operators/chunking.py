@@ -46,13 +46,13 @@ def split_logs(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, entries array<string>").withColumnRenamed("key", key)
 
 
-def chunk_pages(pages: DataFrame) -> DataFrame:
-    """pages: (file_id, page, text), a page may stand more than once. (chunk_id, file_id, page, chunk_index, section, parent_id, text, content_hash).
+def chunk_pages(pages: DataFrame, most: int | None = MOST_CHUNKS) -> DataFrame:
+    """pages: (file_id, page, text[, part]), a page may stand more than once, its parts in the order of `part` where there is one. (chunk_id, file_id, page, chunk_index, section, parent_id, text, content_hash).
 
     Parents are a relation of their own (join on parent_id), not copied into every chunk. Within a file equal
-    texts stay once, the first 500 chunks stay.
+    texts stay once, the first `most` chunks stay (None: all).
     """
-    nth = F.row_number().over(Window.partitionBy("file_id", "page").orderBy(F.xxhash64("text"), "text")) - 1
+    nth = F.row_number().over(Window.partitionBy("file_id", "page").orderBy(*(["part"] if "part" in pages.columns else []), F.xxhash64("text"), "text")) - 1
     prefix = F.when(F.col("nth") == 0, F.lit("")).otherwise(F.concat(F.lit("_t"), F.col("nth").cast("string")))
     base = F.concat("file_id", F.lit("_p"), F.col("page").cast("string"), prefix)
     p = pages.withColumn("nth", nth).withColumn("base", base).withColumn("is_log", T.is_log(F.col("text"))).withColumn("is_table", T.is_table(F.col("text")))
@@ -71,5 +71,5 @@ def chunk_pages(pages: DataFrame) -> DataFrame:
     every = flat.unionByName(prose).withColumn("chunk_id", F.concat("base", F.lit("_c"), F.col("chunk_index").cast("string"))).withColumn("content_hash", F.sha2("text", 256))
     order = ["page", "base", "chunk_index"]
     once = every.withColumn("n", F.row_number().over(Window.partitionBy("file_id", "content_hash").orderBy(*order))).filter("n = 1")
-    kept = once.withColumn("n", F.row_number().over(Window.partitionBy("file_id").orderBy(*order))).filter(F.col("n") <= MOST_CHUNKS)
+    kept = once if most is None else once.withColumn("n", F.row_number().over(Window.partitionBy("file_id").orderBy(*order))).filter(F.col("n") <= MOST_CHUNKS)
     return kept.select("chunk_id", "file_id", "page", "chunk_index", "section", "parent_id", "text", "content_hash")

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.understand import expand
+from ..session import materialise, parallelism
 from .index import postings, sized, term_stats
 
 K1, B, RRF_K = 1.5, 0.75, 60
 TOP_BM25, TOP_DENSE, BM25_THRESHOLD, FUSED_THRESHOLD = 20, 20, 0.1, 0.01
 #: Queries up to this many rows (a few MB of terms or vectors) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Query vectors multiplied at once (2 MB).
+QUERY_BLOCK = 4_096
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
@@ -47,6 +50,17 @@ def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), id_: s
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
+def rank_all(scored: DataFrame, id_: str = "chunk_id") -> DataFrame:
+    """top_k without an end: ranks of lists of any length. Rows are cut by range; a task numbers its stretch of a list, and
+    only the lengths of stretches are summed up a list."""
+    order = [F.col("score").desc(), F.col(id_)]
+    cut = materialise(scored.repartitionByRange("query_id", *order).withColumn("part", F.spark_partition_id()))
+    size = cut.groupBy("query_id", "part").agg(F.count("*").alias("n"))
+    ahead = size.withColumn("ahead", F.sum("n").over(Window.partitionBy("query_id").orderBy("part")) - F.col("n")).drop("n")
+    nth = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))
+    return cut.withColumn("nth", nth).join(ahead, ["query_id", "part"]).withColumn("rank", (F.col("ahead") + F.col("nth")).cast("bigint")).drop("part", "nth", "ahead")
+
+
 def filtered_pool(pool: DataFrame, condition) -> DataFrame:
     """Whole files that have a chunk meeting the condition; nothing meets it: nothing comes out."""
     return pool.join(pool.filter(condition).select("file_id").distinct(), "file_id", "left_semi")
@@ -59,49 +73,60 @@ def balanced(queries: DataFrame, pool: DataFrame, per_file: int = 2) -> DataFram
     return ranked.withColumn("best", best).filter(F.col("best") >= BM25_THRESHOLD).drop("best")
 
 
-def dense_top_k(queries: DataFrame, pool: DataFrame, k: int, query_id: str = "query_id", id_: str = "chunk_id", vector: str = "embedding", skip_self: bool = False) -> DataFrame:
+def dense_top_k(queries: DataFrame, pool: DataFrame, k: int, query_id: str = "query_id", id_: str = "chunk_id", vector: str = "embedding", skip_self: bool = False, dimensions: int = 64, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score, rank): exact cosine top k of every query against all rows, in blocks.
 
-    A task multiplies a batch of rows with a block of queries and keeps the k best per query and batch,
-    so k rows a query and batch are shuffled, never all pairs. Queries are collected in blocks of a bounded
-    size; vectors that are null, of another length than most, zero or not finite match nothing.
+    Queries are numbered and packed into blocks; each block is multiplied with every slice of the pool in a task that keeps
+    its k best rows a query, so k rows a query and slice are shuffled, never all pairs. A single block travels with the
+    code; more of them are a table that is joined to the slices, so the driver holds one block at most. Vectors that are
+    null, not of `dimensions` values, zero or not finite match nothing.
     """
     kind, qkind = pool.schema[id_].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-    out = None
-    rows = queries.select(query_id, vector).filter(F.col(vector).isNotNull()).orderBy(query_id).toArrow().to_pylist()
-    size = max((len(r[vector]) for r in rows), default=0)
-    rows = [r for r in rows if len(r[vector]) == size and all(x is not None and np.isfinite(x) for x in r[vector]) and any(r[vector])]
+    v = F.col(vector).cast("array<double>")
+    fine = lambda d: d.filter(F.size(vector) == dimensions).filter(~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0))
+    asked = fine(queries).select(F.col(query_id).alias("q"), v.alias("v"))
+    rows = fine(pool).select(F.col(id_).alias("i"), v.alias("x"))
     schema = f"{query_id} {qkind}, {id_} {kind}, score double"
-    for a in range(0, max(1, len(rows)), 4096):
-        block = rows[a : a + 4096]
-        q = np.array([r[vector] for r in block], np.float64).reshape(len(block), size)
-        q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(block) else q
-        ids = [r[query_id] for r in block]
-
-        def run(batches: Iterator[pa.RecordBatch], q=q, ids=ids) -> Iterator[pa.RecordBatch]:
+    most = k + int(skip_self)
+
+    def best(q: np.ndarray, ids: list, keys: pa.Array, vectors: pa.Array) -> pa.RecordBatch:
+        x = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(keys), dimensions)
+        s = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
+        names = keys.to_pylist()
+        place = np.argsort(np.argsort(np.array(names, dtype=object)))  # ties go to the smaller id
+        n = min(len(names), most)
+        top = np.array([np.lexsort((place, -r))[:n] for r in s])
+        j = top.ravel()
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in np.repeat(np.arange(len(q)), n).tolist()]).cast(_arrow(qkind)), pa.array([names[i] for i in j.tolist()]).cast(_arrow(kind)), pa.array(s[np.repeat(np.arange(len(q)), n), j])], names=[query_id, id_, "score"])
+
+    unit = lambda vs: (lambda q: q / np.linalg.norm(q, axis=1, keepdims=True))(np.array(vs, np.float64).reshape(len(vs), dimensions))
+    first = asked.limit(block + 1).toArrow()
+    if first.num_rows <= block:
+        held = first.sort_by("q")
+        q, ids = unit(held.column("v").to_pylist()), held.column("q").to_pylist()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys, vectors = batch.column(0), batch.column(1)
-                n = np.asarray(vectors.value_lengths().fill_null(0))
-                at = np.nonzero(n == size)[0]
-                if not len(at) or not len(q):
-                    continue
-                x = np.asarray(vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(at), size)
-                norm = np.linalg.norm(x, axis=1)
-                ok = np.isfinite(norm) & (norm > 0)
-                x, at = x[ok] / norm[ok, None], at[ok]
-                s = np.round(q @ x.T, 6)
-                names = keys.take(pa.array(at)).to_pylist()
-                place = np.argsort(np.argsort(np.array(names, dtype=object)))  # ties go to the smaller id
-                most = min(len(names), k + int(skip_self))
-                best = np.array([np.lexsort((place, -r))[:most] for r in s])
-                qi = np.repeat(np.arange(len(q)), most)
-                j = best.ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in qi.tolist()]).cast(_arrow(qkind)), pa.array([names[i] for i in j.tolist()]).cast(_arrow(kind)), pa.array(s[qi, j])], names=[query_id, id_, "score"]
-                )
-
-        part = pool.select(id_, vector).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
+                if batch.num_rows and len(ids):
+                    yield best(q, ids, batch.column(0), batch.column(1))
+
+        out = rows.mapInArrow(run, schema)
+    else:
+        n_blocks = F.greatest(F.ceil(F.lit(asked.count()) / block), F.lit(1)).cast("int")
+        packed = asked.withColumn("b", F.pmod(F.xxhash64("q"), n_blocks).cast("int"))
+        slices = 4 * parallelism(pool.sparkSession)
+        sliced = rows.withColumn("s", F.pmod(F.xxhash64("i"), F.lit(slices)).cast("int"))
+        # Every block meets every slice: blocks are sent to each slice's key, slices to each block's.
+        left = packed.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        right = sliced.withColumn("b", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not a.num_rows or not b.num_rows:
+                return pa.table({query_id: pa.array([], _arrow(qkind)), id_: pa.array([], _arrow(kind)), "score": pa.array([], pa.float64())})
+            q, ids = unit(a.column("v").to_pylist()), a.column("q").to_pylist()
+            return pa.Table.from_batches([best(q, ids, x.column("i"), x.column("x")) for x in b.combine_chunks().to_batches(8192)])
+
+        out = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInArrow(meet, schema)
     if skip_self:
         out = out.filter(F.col(query_id) != F.col(id_))
     return top_k(out, k, (query_id,), id_)
@@ -111,11 +136,11 @@ def _arrow(kind: str) -> pa.DataType:
     return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
 
 
-def fuse(a: DataFrame, b: DataFrame, k: int = RRF_K, id_: str = "chunk_id") -> DataFrame:
-    """Reciprocal rank fusion of two ranked lists: one shuffle of the union. (query_id, id, score, rank)."""
+def fuse(a: DataFrame, b: DataFrame, k: int = RRF_K, id_: str = "chunk_id", long: bool = False) -> DataFrame:
+    """Reciprocal rank fusion of two ranked lists: one shuffle of the union. (query_id, id, score, rank). long: lists of any length."""
     both = a.select("query_id", id_, "rank").unionByName(b.select("query_id", id_, "rank"))
     fused = both.groupBy("query_id", id_).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 6).alias("score"))
-    return top_k(fused, 1 << 30, id_=id_)
+    return rank_all(fused, id_) if long else top_k(fused, 1 << 30, id_=id_)
 
 
 def hybrid(sparse: DataFrame, dense: DataFrame, k: int, id_: str = "chunk_id") -> DataFrame:

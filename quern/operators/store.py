@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old, and those rows of new whose key it doesn't have; of equal keys in new, one row."""
@@ -70,15 +72,29 @@ def adopt(local: DataFrame, remote: DataFrame, key: str = "id") -> DataFrame:
 def running_limit(rows: DataFrame, order: str, size: str, limit: int) -> DataFrame:
     """Adds `before` (sum of sizes of the rows ahead) and `fits` (no overflow up to here), without a global sort in one task.
 
-    Rows are ordered within buckets of the order column's first two characters; only the few buckets' sums are ordered globally.
+    Rows are cut by range of (order, id), however alike their names are; only the sums of the cuts are ordered globally.
     """
-    b = F.substring(order, 1, 2)
-    rows = rows.withColumn("bucket", b)
-    sums = rows.groupBy("bucket").agg(F.sum(size).alias("s"))
-    ahead = sums.withColumn("ahead", F.coalesce(F.sum("s").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
-    w = Window.partitionBy("bucket").orderBy(order, "id").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(F.broadcast(ahead), "bucket").withColumn("before", F.col("ahead") + F.coalesce(F.sum(size).over(w), F.lit(0)))
-    return out.withColumn("fits", F.col("before") + F.col(size) <= limit).drop("bucket", "ahead")
+    cut = materialise(rows.repartitionByRange(order, "id").withColumn("cut", F.spark_partition_id()))
+    sums = cut.groupBy("cut").agg(F.sum(size).alias("s"))
+    ahead = sums.withColumn("ahead", F.coalesce(F.sum("s").over(Window.orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
+    w = Window.partitionBy("cut").orderBy(order, "id").rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(F.broadcast(ahead), "cut").withColumn("before", F.col("ahead") + F.coalesce(F.sum(size).over(w), F.lit(0)))  # one row a partition
+    return out.withColumn("fits", F.col("before") + F.col(size) <= limit).drop("cut", "ahead")
+
+
+def load_report(files: DataFrame, known: DataFrame, limit: int) -> DataFrame:
+    """(name, outcome, before) of files (id, name, content_hash, chunk_count, failed) in the order of their names: `failed` where reading
+    failed, `skipped` where the hash is known or an earlier file has it, `stopped` from the first that would pass the limit, else `loaded`."""
+    first = F.row_number().over(Window.partitionBy("content_hash").orderBy("name", "id")) > 1
+    again = files.withColumn("again", first & F.col("content_hash").isNotNull()).join(known.select("content_hash").distinct().withColumn("known", F.lit(True)), "content_hash", "left")
+    bad = F.coalesce("failed", F.lit(False))
+    skip = F.coalesce("known", F.lit(False)) | F.col("again")
+    sized = again.withColumn("take", F.when(bad | skip, 0).otherwise(F.coalesce("chunk_count", F.lit(0))))
+    out = running_limit(sized, "name", "take", limit)
+    # Once a file doesn't fit, all that would be loaded after it is left out, too.
+    stop = out.filter(~F.col("fits")).agg(F.min(F.struct("name", "id")).alias("stop"))
+    late = F.coalesce(F.struct("name", "id") >= F.col("stop"), F.lit(False))
+    return out.crossJoin(F.broadcast(stop)).select("name", "id", F.when(bad, "failed").when(skip, "skipped").when(late, "stopped").otherwise("loaded").alias("outcome"))
 
 
 def fingerprint(rows: DataFrame, key: str) -> DataFrame:

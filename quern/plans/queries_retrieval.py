@@ -166,7 +166,7 @@ SELECT *, 'fused' AS gate FROM good UNION ALL SELECT query_id, chunk_id, score,
 def balanced_fusion(spark, sf):
     """Balanced lists fused with dense ones: no file crowds the others out."""
     ranked = R.balanced(gold(spark, sf), pool(spark, sf)).drop("rank")
-    return R.fuse(R.top_k(ranked, 1 << 30), dense_top(spark, sf)).select("query_id", "chunk_id", "score", "rank")
+    return R.fuse(R.rank_all(ranked), dense_top(spark, sf), long=True).select("query_id", "chunk_id", "score", "rank")
 
 
 BALANCED_FUSION = f"""WITH {GOLD}, {POOL}, {_bm25_sql('pool', 'file_id')}, r AS ({_rank('scored', 2, 'query_id, file_id')}),
@@ -238,15 +238,29 @@ def mmr_select(spark, sf):
     return C.mmr(full.select("query_id", "chunk_id", "rank", "embedding", "query_vector"))
 
 
+MMR_SELECT = f"""{FULL.replace("WITH ", "WITH RECURSIVE ", 1)}, cand AS (SELECT h.query_id, h.chunk_id, h.rank, e.embedding AS v, qv FROM hyb h LEFT JOIN emb e USING (chunk_id) LEFT JOIN gvec USING (query_id)),
+has AS (SELECT *, list_dot_product(v, qv) AS rel FROM cand WHERE v IS NOT NULL AND qv IS NOT NULL),
+pick AS (SELECT query_id, 1 AS n, [chunk_id] AS ids, [v] AS vs FROM has QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) = 1
+ UNION ALL SELECT query_id, n, ids, vs FROM (SELECT p.query_id, p.n + 1 AS n, list_append(p.ids, h.chunk_id) AS ids, list_append(p.vs, h.v) AS vs, row_number() OVER (PARTITION BY p.query_id ORDER BY 0.7 * h.rel - 0.3 * list_max(list_transform(p.vs, lambda x: list_dot_product(x, h.v))) DESC, h.rank) AS best
+  FROM pick p JOIN has h ON h.query_id = p.query_id WHERE p.n < 5 AND NOT list_contains(p.ids, h.chunk_id)) WHERE best = 1),
+last AS (SELECT query_id, max_by(ids, n) AS ids FROM pick GROUP BY 1), fill AS (SELECT query_id, list(chunk_id ORDER BY rank) AS rest FROM cand WHERE v IS NULL OR qv IS NULL GROUP BY 1),
+whole AS (SELECT query_id, (list_concat(coalesce(ids, []), coalesce(rest, [])))[1:5] AS ids FROM last FULL JOIN fill USING (query_id))
+SELECT query_id, unnest(ids) AS chunk_id, unnest(range(1, len(ids) + 1)) AS pick FROM whole"""
+
+
 def semantic_cache_lookup(spark, sf):
-    """Every hundredth vector looked up in a cache of all the others."""
-    e = table(spark, sf, "embeddings")
+    """Every hundredth vector looked up in a cache of all the others, and of slightly changed copies of some."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.cache_lookup(q, e, 0.5, skip_self=True)
+    near = e.filter("vec_id % 200 = 0").select((F.col("vec_id") + 10_000_000).alias("vec_id"), F.transform("embedding", lambda x, i: F.when(i == 0, x * 1.01).otherwise(x)).alias("embedding"))
+    return R.cache_lookup(q, e.unionByName(near), skip_self=True)
 
 
-SEMANTIC_CACHE_LOOKUP = f"""WITH r AS ({DENSE_TOPK})
-SELECT query_id, score >= 0.5 AS hit, CASE WHEN score >= 0.5 THEN vec_id END AS cached_id, score AS similarity FROM r WHERE rank = 1"""
+SEMANTIC_CACHE_LOOKUP = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT * FROM e UNION ALL SELECT vec_id + 10000000, list_transform(v, lambda x, i: CASE WHEN i = 1 THEN x * 1.01 ELSE x END) FROM e WHERE vec_id % 200 = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS score FROM e a, c b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) = 1)
+SELECT query_id, score >= 0.97 AS hit, CASE WHEN score >= 0.97 THEN vec_id END AS cached_id, score AS similarity FROM r"""
 
 
 def relevance_bars(spark, sf):

@@ -261,6 +261,14 @@ def small_functions(spark, sf):
     return df.select("id", T.duration_seconds(F.col("hint")).alias("seconds"), T.latin1(F.col("wide")).alias("latin"), T.ascii_lookalikes(F.col("answer")).alias("ascii"), T.compact_answer(F.col("answer")).alias("compact"), F.col("wide").alias("wide"))
 
 
+_NV = ", ".join("({}, '{}', '{}', '{}')".format(i, *(x.replace("'", "''") for x in n)) for i, n in enumerate(NOTES))
+_ASCII = lambda x: f"translate({x}, $${T.LOOKALIKE_FROM}$$, $${T.LOOKALIKE_TO}$$)"
+_SECS = "list_sum(list_transform(regexp_extract_all(regexp_extract(lower(hint), 'try again in\\s+((?:\\d+(?:\\.\\d+)?(?:ms|h|m|s))+)', 1), '\\d+(?:\\.\\d+)?(?:ms|h|m|s)'), lambda p: CAST(regexp_extract(p, '^[\\d.]+') AS DOUBLE) * CASE WHEN p LIKE '%ms' THEN 0.001 WHEN p LIKE '%s' THEN 1 WHEN p LIKE '%m' THEN 60 ELSE 3600 END))"
+SMALL_FUNCTIONS = f"""WITH v AS (SELECT CAST(id AS BIGINT) AS id, hint, wide, answer FROM (VALUES {_NV}) v(id, hint, wide, answer)),
+c AS (SELECT *, {STRIP("regexp_replace(" + _ASCII("regexp_replace(answer, '(?i)[\\[【]\\s*Source:[^\\]】]*[\\]】]', ' ', 'g')") + ", '[ \\t\\r\\n\\f]+', ' ', 'g')")} AS t FROM v)
+SELECT id, wide, round({_SECS}, 3) AS seconds, regexp_replace(translate(replace(replace(wide, '—', '--'), '…', '...'), $$‘’“”–•$$, $$''""--$$), '[^\\x{{00}}-\\x{{FF}}]', '?', 'g') AS latin, {_ASCII('answer')} AS ascii, CASE WHEN length(t) <= 400 THEN t ELSE rtrim(t[1:400]) || '...' END AS compact FROM c"""
+
+
 def url_masking(spark, sf):
     urls = ["postgres://user:secret@host:5432/db", "http://host/x", "redis://:pw@h", "https://a:b@c.d/e@f"]
     return spark.createDataFrame([(u,) for u in urls], "url string").select("url", T.mask_password(F.col("url")).alias("masked"))
@@ -277,8 +285,9 @@ def document_badges(spark, sf):
     label = F.coalesce(*[F.when(ext == e, F.lit(x)) for e, x in ((".pdf", "PDF"), (".docx", "DOC"), (".doc", "DOC"), (".md", "MD"), (".csv", "CSV"), (".html", "HTML"), (".htm", "HTML"))], F.lit("TXT"))
     n = F.coalesce("chunk_count", F.lit(0))
     line = F.when(F.col("status") == "processing", F.lit("Queued for OCR")).when(F.col("status") == "failed", F.coalesce("status_message", F.lit("Processing failed"))).otherwise(F.concat(F.format_number(n, 0), F.when(n == 1, F.lit(" passage")).otherwise(F.lit(" passages"))))
-    now = F.max("upload_time").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy())
-    return r.select("id", F.when(ocr, F.lit("OCR")).otherwise(label).alias("badge"), line.alias("line"), T.time_ago(F.col("upload_time"), now).alias("age"))
+    newest = r.agg(F.max("upload_time").alias("newest"))  # one row
+    now = F.col("newest")
+    return r.crossJoin(F.broadcast(newest)).select("id", F.when(ocr, F.lit("OCR")).otherwise(label).alias("badge"), line.alias("line"), T.time_ago(F.col("upload_time"), now).alias("age"))
 
 
 DOCUMENT_BADGES = """

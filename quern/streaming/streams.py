@@ -48,7 +48,8 @@ def counters(events: DataFrame) -> DataFrame:
 
 def latest(drained: DataFrame) -> DataFrame:
     """Of a stream in complete mode: what the last batch said."""
-    return drained.withColumn("last", F.max("batch_id").over(Window.partitionBy())).filter("batch_id = last").drop("batch_id", "last")
+    last = drained.agg(F.max("batch_id").alias("batch_id"))  # one row
+    return drained.join(F.broadcast(last), "batch_id").drop("batch_id")
 
 
 def rate_limits(events: DataFrame, limit: int = 1, per: str = "1 minute", late: str = "1 hour") -> DataFrame:
@@ -84,23 +85,40 @@ def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def versions(changes: DataFrame, key: str) -> DataFrame:
-    """A change feed into a versioned table: (version, changed, total). Each batch is one version; the table of a version is
-    written under its own name, so a batch that is run again writes the same version again and readers keep theirs."""
+def versions(changes: DataFrame, key: str, root: str | None = None) -> DataFrame:
+    """A change feed into a versioned table: (version, changed, added). Each batch is one version and writes what it changed
+    under its own number, so a batch that is run again replaces itself; `at_version` gives the table as of a version.
+
+    With `root`, a folder all executors share, versions outlive the call and a later one goes on from there.
+    """
     spark = changes.sparkSession
-    root = f"{ensure_checkpoint_dir(spark)}/versions-{uuid.uuid4().hex}"
+    root = root or f"{ensure_checkpoint_dir(spark)}/versions-{uuid.uuid4().hex}"
+    schema = changes.schema
 
     def apply(batch: DataFrame, version: int) -> None:
         new = batch.dropDuplicates([key])
-        if version:
-            old = spark.read.parquet(f"{root}/table/{version - 1}")
-            kept = old.join(new.select(key), key, "left_anti").unionByName(new)
-        else:
-            kept = new
-        kept.write.mode("overwrite").parquet(f"{root}/table/{version}")
-        counts = new.agg(F.count("*").alias("changed")).crossJoin(spark.read.parquet(f"{root}/table/{version}").agg(F.count("*").alias("total")))
+        new.write.mode("overwrite").parquet(f"{root}/delta/version={version}")
+        mine = spark.read.schema(schema).parquet(f"{root}/delta/version={version}")
+        old = at_version(spark, root, key, schema, version - 1).select(key)
+        counts = mine.agg(F.count("*").alias("changed")).crossJoin(mine.join(old, key, "left_anti").agg(F.count("*").alias("added")))
         counts.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{root}/log/{version}")
 
     q = changes.writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(apply).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("changed bigint, total bigint, version int").option("recursiveFileLookup", "true").parquet(f"{root}/log")
+    return spark.read.schema("changed bigint, added bigint, version int").option("recursiveFileLookup", "true").parquet(f"{root}/log")
+
+
+def at_version(spark: SparkSession, root: str, key: str, schema, version: int) -> DataFrame:
+    """The table as of a version: of each key the row of its latest change."""
+    if version < 0:
+        return spark.createDataFrame([], schema)
+    every = spark.read.schema(schema).option("basePath", f"{root}/delta").parquet(*[f"{root}/delta/version={v}" for v in range(version + 1)])
+    if "version" not in every.columns:
+        every = every.withColumn("version", F.regexp_extract(F.input_file_name(), r"version=(\d+)", 1).cast("int"))
+    row = F.struct(*[F.col(f"`{c}`") for c in schema.names])
+    return every.groupBy(key).agg(F.max_by(row, "version").alias("r")).select(*[F.col(f"r.`{c}`") for c in schema.names])
+
+
+def changed_since(log: DataFrame, seen: int) -> bool:
+    """Whether a reader that loaded version `seen` has anything to load."""
+    return not log.filter(F.col("version") > seen).isEmpty()
