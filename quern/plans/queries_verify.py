@@ -77,6 +77,15 @@ def stream_frames(spark, sf):
 STREAM_FRAMES = f"WITH {TURNS} SELECT session_id, turn, seq, substring(answer, CAST(seq * 4 + 1 AS BIGINT), 4) AS frame FROM (SELECT *, unnest(range(CAST(ceil(length(answer) / 4) AS BIGINT))) AS seq FROM t WHERE length(answer) > 0)"
 
 
+def token_metering(spark, sf):
+    """Estimated tokens of all answers, by intent and in all."""
+    n = F.floor(F.size(T.words(F.coalesce("answer", F.lit("")))) * 4 / 3).cast("bigint")
+    return turns(spark, sf).select(F.coalesce("intent", F.lit("none")).alias("intent"), n.alias("n")).rollup("intent").agg(F.sum("n").alias("tokens"), F.count("*").alias("turns"))
+
+
+TOKEN_METERING = f"WITH {TURNS} SELECT intent, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS turns FROM (SELECT coalesce(intent, 'none') AS intent, len({WORDS("coalesce(answer, '')")}) * 4 // 3 AS n FROM t) GROUP BY ROLLUP (intent)"
+
+
 def intent_counts(spark, sf):
     """Turns by known intent, unknown and missing ones apart."""
     known = F.col("intent").isin("qa", "explain", "summarize", "compare")
@@ -350,7 +359,7 @@ SELECT CAST(v.plan_id AS BIGINT) AS plan_id, string_agg('**' || text || '**' ||
 
 
 def queries():
-    fs = (session_turns, last_turns, list_sessions, followup_rewrite, export_markdown, chat_messages, stream_frames, intent_counts, overlap_confidence, number_grounding, subset_sum_grounding, reflect_decision, validator, contradiction,
+    fs = (session_turns, last_turns, list_sessions, followup_rewrite, export_markdown, chat_messages, stream_frames, token_metering, intent_counts, overlap_confidence, number_grounding, subset_sum_grounding, reflect_decision, validator, contradiction,
           evidence_verdict, cited_sources, grade_cases, eval_summary, baseline_diff, plan_dependencies, plan_back_references, plan_wording, sub_answer_merge)
     return {f.__name__: f for f in fs}
 

@@ -217,3 +217,81 @@ def test_fallback_takes_top_k_of_the_question(spark):
     asked = spark.createDataFrame([(1, "compare beta plan", "compare", 2, False, False), (2, "compare beta plan", "compare", 5, False, False)], "query_id bigint, query string, intent string, top_k int, strict boolean, force_strong boolean")
     got = {r["query_id"]: r["n_chunks"] for r in pipeline.attempt(asked, pool, None, Plugins()).collect()}
     assert got == {1: 2, 2: 5}
+
+
+def test_documents_are_read_by_extension(spark, tmp_path):
+    import os
+
+    os.makedirs(tmp_path / "in")
+    for name, data in {"a.TXT": b"plain  text\xff", "b.csv": b"x, ,y\n1,2,\n", "c.html": b"<p>one</p><script>no</script>", "d.pdf": b"%PDF", "e.docx": b"bad", "f.exe": b"x", "g.md": b"y" * 200, "h.ocr": b"-", "i.txt": b" "}.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    def broken(_):
+        raise ValueError
+    parsers = {".pdf": lambda data: [(1, "first"), (1, "table=1"), (2, "second")], ".docx": broken, ".ocr": lambda data: []}
+    got = {(r["filename"], r["page"], r["part"]): (r["text"], r["error"]) for r in formats.read_documents(spark, str(tmp_path / "in"), parsers, most_bytes=100).collect()}
+    assert got[("a.TXT", 1, 0)][0] == "plain text" and got[("b.csv", 1, 0)][0] == "x=1, y=" and got[("c.html", 1, 0)][0] == "one"
+    assert [got[("d.pdf", p, q)][0] for p, q in ((1, 0), (1, 1), (2, 0))] == ["first", "table=1", "second"]
+    errors = {k[0]: v[1] for k, v in got.items() if v[1]}
+    assert errors == {"e.docx": "parser_failed", "f.exe": "unknown_type", "g.md": "too_large", "h.ocr": "empty"} and got[("i.txt", 1, 0)][0] == ""
+    none = {r["filename"]: r["error"] for r in formats.read_documents(spark, str(tmp_path / "in")).collect()}
+    assert none["d.pdf"] == "no_parser" and none["h.ocr"] == "unknown_type"
+
+
+def test_logs_are_emptied_when_taken(spark, tmp_path):
+    path = str(tmp_path / "log")
+    formats.append_jsonl(spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string"), path)
+    assert formats.take_jsonl(spark, path, "id int, t string").count() == 2
+    formats.append_jsonl(spark.createDataFrame([(3, "c")], "id int, t string"), path)
+    assert [r["id"] for r in formats.take_jsonl(spark, path, "id int, t string").collect()] == [3]
+
+
+def test_semantic_cache_keeps_hits_and_forgets_old_versions(spark):
+    from quern.operators import cache
+
+    unit = lambda i: [1.0 if j == i else 0.0 for j in range(64)]
+    empty = spark.createDataFrame([], "key string, embedding array<double>, result string, used int, version int")
+    new = spark.createDataFrame([(f"q{i}", unit(i), f"r{i}", i) for i in range(4)], "key string, embedding array<double>, result string, used int")
+    held = cache.store(empty, new, 1, capacity=3)
+    assert {r["key"] for r in held.collect()} == {"q1", "q2", "q3"}
+    ask = spark.createDataFrame([(1, unit(1)), (2, unit(0)), (3, None)], "query_id bigint, embedding array<double>")
+    found = cache.lookup(held, ask, 1)
+    assert {(r["query_id"], r["hit"], r["cached_id"]) for r in found.collect()} == {(1, True, "q1"), (2, False, None)}
+    held = cache.touch(held, found, 9)
+    again = cache.store(held, spark.createDataFrame([("q9", unit(9), "r9", 10)], new.schema), 1, capacity=3)
+    assert {r["key"] for r in again.collect()} == {"q1", "q3", "q9"}
+    assert cache.lookup(again, ask, 2).count() == 0 and {r["key"] for r in cache.store(again, new, 2).collect()} == {"q0", "q1", "q2", "q3"}
+
+
+def test_dense_search_by_shuffled_blocks_equals_one_block(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(300, 16)))]
+    df = spark.createDataFrame([*rows, (900, None), (901, [1.0]), (902, [0.0] * 16)], "vec_id bigint, embedding array<double>")
+    q = df.filter("vec_id % 7 = 0 OR vec_id > 899").withColumnRenamed("vec_id", "query_id").unionByName(spark.createDataFrame([(950, [1.0] * 99)], "query_id bigint, embedding array<double>"))
+    one, many = (sorted(map(tuple, retrieval.dense_top_k(q, df, 4, id_="vec_id", dimensions=16, block=b).collect())) for b in (1000, 8))
+    assert one == many and len(one) == 4 * 43
+
+
+def test_running_limit_with_one_prefix_and_long_rankings(spark):
+    rows = spark.createDataFrame([(i, f"scan_{i:05d}", 1) for i in range(200)], "id int, name string, n int")
+    got = {r["id"]: (r["before"], r["fits"]) for r in store.running_limit(rows.repartition(5), "name", "n", 150).collect()}
+    assert got == {i: (i, i < 150) for i in range(200)}
+    scored = spark.createDataFrame([(q, f"c{i:04d}", float(i % 50)) for q in (1, 2) for i in range(500)], "query_id int, chunk_id string, score double")
+    assert sorted(map(tuple, retrieval.rank_all(scored).select("query_id", "chunk_id", "rank").collect())) == sorted(map(tuple, retrieval.top_k(scored, 1000).select("query_id", "chunk_id", "rank").collect()))
+
+
+def test_versions_outlive_the_call(spark, tmp_path):
+    from quern.streaming import streams as X
+
+    schema, root = "id int, v string", str(tmp_path / "root")
+    put = lambda rows, n: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    put([(1, "a"), (2, "b")], 0)
+    assert [tuple(r) for r in X.versions(read(), "id", root).select("version", "changed", "added").collect()] == [(0, 2, 2)]
+    put([(2, "c"), (3, "d")], 1)
+    log = X.versions(read(), "id", root)
+    assert sorted(map(tuple, log.select("version", "changed", "added").collect())) == [(0, 2, 2), (1, 2, 1)]
+    assert X.changed_since(log, 0) and not X.changed_since(log, 1)
+    table = spark.createDataFrame([], schema).schema
+    assert sorted(map(tuple, X.at_version(spark, root, "id", table, 1).collect())) == [(1, "a"), (2, "c"), (3, "d")] and X.at_version(spark, root, "id", table, 0).count() == 2
