@@ -42,6 +42,8 @@ SHARD, PROBES = 6_000, 4
 CELLS, CELL_PROBES = 1_000, 6
 #: Most shards (their centroids, 256 bytes each, go to every task): 1.2 billion vectors at the wanted size, larger shards beyond.
 SHARDS_MOST = 200_000
+#: Most tasks the shards are spread over; with more shards each task has several.
+TASKS_MOST = 10_000
 #: Sampled members of a shard from which centroids within cells are learned.
 SHARD_SAMPLE = 64
 #: A further shard is asked if its border is nearer than this part of the distance to the own centroid.
@@ -248,6 +250,8 @@ def class_neighbours(units: DataFrame, total: int, k: int = K, shard: int = SHAR
     classes = units.groupBy("class").agg(F.any_value("vec").alias("vec"))
     shards = find_shards(units, sample, total, shard, cells)
     routed = classes.select("class", "vec").mapInArrow(lambda it: _route(it, shards, probes, margin), "shard int, member boolean, class bigint, vec binary")
+    # One or two shards a task while there are few: packed by bytes, some tasks would hold many more than others.
+    routed = routed.repartition(min(2 * int(shards.slices.sum()), TASKS_MOST), "shard")
     lists = routed.groupBy("shard").applyInArrow(lambda g: _answer(g, k, beam), f"class bigint, near {_NEAR}")
     return lists.groupBy("class").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
