@@ -53,8 +53,8 @@ _WORD = re.compile("[a-z0-9]+")
 #: Check bits of the binary Hamming code that gives the anchors; its words have 2 ** CHECK - 1 bits.
 CHECK = 5
 LENGTH, RADIUS = 2**CHECK - 1, 1
-#: Buckets of contexts, the unit of a task: at least so many, and one more for so many texts; what is sent doesn't depend on them.
-BUCKETS, BUCKET_TEXTS = 1024, 40_000
+#: Texts a bucket of contexts stands for, in memory of a task at once; there are BUCKETS at least. What is sent doesn't depend on them.
+BUCKETS, BUCKET_TEXTS, TASKS_MOST = 1024, 5_000, 20_000
 #: Entries compared in one go, and characters of text fingerprinted in one go; only memory depends on them.
 ENTRIES, CHARS = 1_500_000, 6_000_000
 #: An anchor with more pairs is cut into blocks of so many entries a side.
@@ -414,9 +414,12 @@ def _match_blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterat
 def candidates(df: DataFrame, text: str, threshold: float, min_words: int, buckets: int | None = None) -> DataFrame:
     """(a, b): class pairs that share an anchor and have near sketches; holds every true pair."""
     rows = df.select(F.col(f"`{text}`").alias("text")).filter(F.length("text") >= 2 * min_words - 1)
-    buckets = buckets or max(BUCKETS, rows.count() // BUCKET_TEXTS)
+    texts = rows.count()
+    # Beyond a million buckets each gets eight times the texts, as a batch would have an entry or two for a smaller one.
+    buckets = buckets or max(BUCKETS, min(texts // BUCKET_TEXTS, 1_000_000), texts // (8 * BUCKET_TEXTS))
+    tasks = min(buckets, TASKS_MOST, max(parallelism(df.sparkSession), texts // BUCKET_TEXTS))
     blocks = spread(rows).mapInArrow(lambda it: _emit(it, threshold, min_words, buckets), _BLOCK)
-    met = blocks.repartition("bucket").sortWithinPartitions("width", "bucket").mapInArrow(lambda it: _match(it, threshold), _MATCH)
+    met = blocks.repartition(tasks, "bucket").sortWithinPartitions("width", "bucket").mapInArrow(lambda it: _match(it, threshold), _MATCH)
     met = materialise(met)
     hot = met.filter("left_id IS NOT NULL").select(*_MATCH_NAMES[2:]).repartition(2 * parallelism(df.sparkSession))
     hot = hot.mapInArrow(lambda it: _match_blocks(it, threshold), "a bigint, b bigint")
