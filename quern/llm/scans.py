@@ -194,7 +194,7 @@ def furniture(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows, hashes, prose = [], [], []
             for i, t in enumerate(batch.column(2).to_pylist()):
-                seen = {_hash(skeleton(x)): _prose(x) for x in t.split("\n") if 0 < len(x.strip()) <= 120}
+                seen = {_hash(skeleton(x)): _prose(x) for x in t.split("\n") if x.strip()}
                 rows += [i] * len(seen)
                 hashes += seen.keys()
                 prose += seen.values()
@@ -246,7 +246,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterato
         for key, text, marks in zip(*(c.to_pylist() for c in batch.columns)):
             marks = set(marks or ())
             lines = text.split("\n")
-            runs = [bool(marks) and 0 < len(x.strip()) <= 120 and _hash(skeleton(x)) in marks for x in lines]
+            runs = [bool(marks) and bool(x.strip()) and _hash(skeleton(x)) in marks for x in lines]
             for i, r in enumerate(runs):
                 if r:
                     out.append((key, i, "running_line", "", "", "", []))
