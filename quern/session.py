@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -21,6 +20,8 @@ def get_session(app: str = "quern", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        # Checkpoints go when nothing refers to them any more, so rounds of an iteration don't pile up.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in {**base, **conf}.items():
         b = b.config(k, v)
@@ -66,10 +67,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
-def bench_cpus() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))
-
-
 _SHIPPED: set[str] = set()
 
 
