@@ -226,9 +226,9 @@ def test_lines_of_other_words(model):
 def test_long_texts_are_decoded_in_bounded_memory(model):
     import tracemalloc
 
-    long = "word " * 200_000 + "call Dr. Lindqvist on +33 1 99 00 11 22"
+    long = "word " * 60_000 + "call Dr. Lindqvist on +33 1 99 00 11 22"
     tracemalloc.start()
     got = model.items(["a b c"] * 600 + [long])
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert [k for _, _, k in got[-1]] == ["person", "phone"] and not any(got[:-1]) and peak < 400e6
+    assert [k for _, _, k in got[-1]] == ["person", "phone"] and not any(got[:-1]) and peak < 150e6
