@@ -39,7 +39,7 @@ def attempt(open_: DataFrame, pool: DataFrame, vectors: DataFrame | None, plugin
     embedded = None
     if plugins.embed is not None and vectors is not None:
         embedded = materialise(plugins.embed(q.select("query_id", F.col("query").alias("text"))).select("query_id", "embedding"))
-        dense = materialise(R.dense_top_k(embedded, vectors, R.TOP_DENSE).select("query_id", "chunk_id", "score", "rank"))
+        dense = materialise(R.dense_top_k(embedded, vectors, R.TOP_DENSE, dimensions=plugins.dimensions).select("query_id", "chunk_id", "score", "rank"))
         rows = R.hybrid(sparse, dense, R.TOP_BM25).drop("mode")
     else:
         dense, rows = sparse.limit(0), sparse

@@ -8,7 +8,7 @@ inlined into dependent steps, the question unchanged on retry, every answer fait
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ NOT_FOUND = "Not found in the document."
 class Plugins:
     """embed: texts (query_id, text) -> (query_id, embedding). rerank: ranked rows -> rows with `score`. generate: rows
     (query_id, query, context, mode, model) -> with `answer`. decompose: queries -> (query_id, step, text).
-    rewrite: Column -> Column. judge: rows -> rows with `faithful`. unsafe: Column -> Column. parsers: extension -> bytes -> pages."""
+    rewrite: Column -> Column. judge: rows -> rows with `faithful`. unsafe: Column -> Column. dimensions: of the vectors. Parsers of formats are given to formats.read_documents."""
 
     embed: Callable[[DataFrame], DataFrame] | None = None
     rerank: Callable[[DataFrame], DataFrame] | None = None
@@ -32,7 +32,7 @@ class Plugins:
     rewrite: Callable[[Column], Column] | None = None
     judge: Callable[[DataFrame], DataFrame] | None = None
     unsafe: Callable[[Column], Column] | None = None
-    parsers: dict[str, Callable[[bytes], list[tuple[int, str]]]] = field(default_factory=dict)
+    dimensions: int = 64
 
 
 def steps(plugins: Plugins, queries: DataFrame) -> DataFrame:

@@ -206,7 +206,7 @@ def test_pipeline_compares_across_files_and_picks_by_mmr(spark):
     vectors = spark.createDataFrame([("c0", [0.9, 0.436]), ("c1", [0.895, 0.446]), ("c2", [0.85, -0.527])], "chunk_id string, embedding array<double>")
     embed = lambda texts: texts.select("query_id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
     asked = spark.createDataFrame([(1, "beta plan", "qa", 5, False, False)], state)
-    context_ = pipeline.attempt(asked, small, vectors, Plugins(embed=embed, generate=first)).first()["context"]
+    context_ = pipeline.attempt(asked, small, vectors, Plugins(embed=embed, generate=first, dimensions=2)).first()["context"]
     assert context_.index("a.txt") < context_.index("c.txt") < context_.index("b.txt")
 
 
